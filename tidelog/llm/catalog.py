@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labelled, quality_classifier, quality_rules
+from . import bpe, labelled, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality_classifier.train(docs, labels, "quality", 5, 0)
@@ -18,6 +25,19 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", labelled.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)
+    return bpe.digests(docs, path, bpe.compile_lexicon(docs, path), ["doc_id"])
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents"), ["doc_id"], 100)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"), 5, 0.8)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     rules = quality_rules.train(docs, labels)
@@ -26,8 +46,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_quality_classifier, op5_bpe, op6_suffix_dedup, op7_ngram_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": mixing.SQL}
