@@ -135,7 +135,7 @@ def _labels(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
 
 
 def _verify(similarity: float):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
         weight = table.column("copies").to_numpy()
         grams = [g.values.to_numpy() for g in table.column("grams").combine_chunks()]
