@@ -31,6 +31,12 @@ from . import word_counts
 #: Words with at least this share of the corpus enter the lexicon, so it holds 1/LEAST_SHARE words at most.
 LEAST_SHARE = 5e-6
 CACHE_WORDS = 300_000
+NO_MERGE = 1 << 60
+
+
+#: Letters and numbers of Unicode 17 and 18, which the library (Unicode 16) takes for marks.
+LATER = "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+_LATER = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
 
 
 def byte_alphabet() -> list[str]:
@@ -56,10 +62,11 @@ class WordBpe:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
+        self.raw = {i: t.encode() for i, t in self.tokens.items()}
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.merges[self.ids[a], self.ids[b]] = rank << 20 | self.ids[a + b]
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.piece = regex.compile(pieces.replace(r"[^\s", f"[^{space}"))
@@ -80,15 +87,19 @@ class WordBpe:
         if len(ids) > 64:
             ids = self._merge_long(ids)
         else:
-            while len(ids) > 1:
-                best, at = None, -1
-                for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                    hit = ranks.get(pair)
-                    if hit is not None and (best is None or hit[0] < best[0]):
-                        best, at = hit, i
-                if best is None:
+            find = ranks.get
+            ranked = [find(pair, NO_MERGE) for pair in zip(ids, ids[1:], strict=False)]
+            while ranked:
+                best = min(ranked)
+                if best == NO_MERGE:
                     break
-                ids[at : at + 2] = [best[1]]
+                at = ranked.index(best)
+                ids[at : at + 2] = [best & 0xFFFFF]
+                del ranked[at]
+                if at:
+                    ranked[at - 1] = find((ids[at - 1], ids[at]), NO_MERGE)
+                if at < len(ranked):
+                    ranked[at] = find((ids[at], ids[at + 1]), NO_MERGE)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         self.known[piece] = out = tuple(ids)
@@ -100,33 +111,34 @@ class WordBpe:
 
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(hit[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (hit := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(hit, i, ids[i], ids[i + 1]) for i in range(n - 1) if (hit := self.merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] is not None else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i] = self.merges[a, b][1]
+            ids[i] = self.merges[a, b] & 0xFFFFF
             ids[j] = None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
                 if hit := self.merges.get((ids[i], ids[after[i]])):
-                    heapq.heappush(heap, (hit[0], i, ids[i], ids[after[i]]))
+                    heapq.heappush(heap, (hit, i, ids[i], ids[after[i]]))
             if (p := before[i]) >= 0 and (hit := self.merges.get((ids[p], ids[i]))):
-                heapq.heappush(heap, (hit[0], p, ids[p], ids[i]))
+                heapq.heappush(heap, (hit, p, ids[p], ids[i]))
         return [x for x in ids if x is not None]
 
     def pieces(self, plain: str) -> list[str]:
-        """Runs of letters, single digits and runs of other marks. Code points that are not assigned are marks."""
-        if plain.isascii() or all(unicodedata.category(c) != "Cn" for c in plain):
+        """Runs of letters, single digits and runs of other marks."""
+        if plain.isascii() or not _LATER.search(plain):
             return self.piece.findall(plain)
-        known = "".join(c if unicodedata.category(c) != "Cn" else "\ufffd" for c in plain)
-        return [plain[m.start() : m.end()] for m in self.piece.finditer(known)]
+        return [plain[m.start() : m.end()] for m in self.piece.finditer(_LATER.sub("\ufffd", plain))]
 
     def word(self, raw: bytes) -> tuple[int, ...]:
         """Ids of a run of bytes without ASCII white space."""
+        if raw.isalpha():  # ASCII letters only
+            return self.merge(raw.decode().lower())
         text = raw.decode("utf-8", "replace")
         parts = self.cut.split(text) if self.cut and "<|" in text else (text,)
         out: list[int] = []
@@ -292,11 +304,11 @@ class Encoder:
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
             self.decoded.clear()
-        new = [w for w in words if w not in self.ids]
+        new, raw = [w for w in words if w not in self.ids], self.model.raw
         for w, r in zip(new, self.lexicon.rank(new).tolist(), strict=True):
             ids = self.lexicon.outputs(r) if r >= 0 else self.model.word(w)
             self.ids[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.decoded[w] = self.model.decode(ids).encode()
+            self.decoded[w] = b" ".join([raw[i] for i in ids])
 
     def digest(self, text: bytes) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids as little-endian 32-bit integers, sha256 of the decoded text."""
