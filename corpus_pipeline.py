@@ -56,8 +56,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_size", mixing.size_of())
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["_size"] == taken["size"])).select(*(rows[c] for c in docs.columns), "_copies")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_taken_size"), "_copies")
+    rows = docs.withColumn("_size", mixing.size_of()).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken_size")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 

@@ -4,17 +4,19 @@ Every string of `length` bytes holds an anchor: the k bytes with the smallest ha
 depend on the string alone, so two equal strings share an anchor at the same place, and only suffixes
 that start at anchors have to be compared.
 
-1. Equal texts are one class: all but the smallest id go as a whole (if long enough).
-2. Each task finds the anchors of its whole texts, with a digest of the bytes around each (all strings
+1. Each task finds the anchors of its whole texts, with a digest of the bytes around each (all strings
    that hold the anchor lie inside them). Repeats of such a neighbourhood in a batch are settled there
-   and then; one row for each distinct neighbourhood is shuffled by its anchor's hash.
-3. Neighbourhoods seen before are repeats as a whole. Where an anchor has several different ones,
+   and then, so a group of copies shuffles one row a batch; one row for each distinct neighbourhood is
+   shuffled by its anchor's hash.
+2. Neighbourhoods seen before are repeats as a whole. Where an anchor has several different ones,
    their suffixes are compared: sampled splitters range-partition them by their leading k bytes, each
    bucket sorts its suffixes (and, reversed, what stands before them) by multikey quicksort, and
    equal strings are those that agree in a longest-common-prefix interval of both orders. Suffixes
    with equal leading bytes never cross a boundary, except for anchors with more than HOT
    neighbourhoods: those are cut over buckets and compared across them by digests of their strings.
-4. Intervals of each document are joined to its text, merged and cut out.
+3. Intervals of each document are joined to its text (compressed for the shuffle), merged and cut out.
+
+An anchor's hash and a neighbourhood's digest are 64 bits each and compared together.
 
 Null texts are empty; null ids come after all others; rows with equal ids are one place each, and only a
 strictly smaller (id, start) is earlier, so exact repeats of a row keep each other.
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -81,7 +83,7 @@ def anchors(buf: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, k: i
 def _find(length: int, k: int):
     """mapInArrow: neighbourhoods (kind 0) and intervals that are known to repeat (kind 1)."""
     reach = length - k
-    schema = pa.schema([("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,23 +99,22 @@ def _find(length: int, k: int):
                 pos = place - at[doc]
                 left = np.maximum(pos - reach, 0)
                 right = np.minimum(pos + length, size[doc])
-                digest = b"".join([hashlib.blake2b(part[d][a:z], digest_size=16).digest() for d, a, z in zip(doc.tolist(), left.tolist(), right.tolist(), strict=True)])
-                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                # a neighbourhood cut short by its text's start or end differs in where the anchor lies
-                d1 = d[:, 0] ^ ((pos - left) * 0x100000001B3).astype(np.int64)
+                digest = b"".join([hashlib.blake2b(part[d][a:z], digest_size=8).digest() for d, a, z in zip(doc.tolist(), left.tolist(), right.tolist(), strict=True)])
+                # neighbourhoods cut short by their text's start differ in where the anchor lies
+                around = tx.mix(np.frombuffer(digest, np.uint64) + (pos - left).astype(np.uint64)).view(np.int64)
                 who = ids[lo:hi][doc]
-                order = np.lexsort((pos, who, d[:, 1], d1, h))
+                order = np.lexsort((pos, who, around, h))
                 same = np.zeros(len(order), bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (d1[order][1:] == d1[order][:-1]) & (d[:, 1][order][1:] == d[:, 1][order][:-1])
-                group = np.cumsum(~same) - 1
+                same[1:] = (h[order][1:] == h[order][:-1]) & (around[order][1:] == around[order][:-1])
                 head = order[~same]
+                of = head[(np.cumsum(~same) - 1)[same]]
                 again = order[same]
-                tie = (who[again] == who[head[group[same]]]) & (pos[again] == pos[head[group[same]]])
-                again = again[~tie]
-                z = np.zeros(len(again), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(d1[head]), pa.array(d[head, 1]), pa.array(who[head]), pa.array(pos[head].astype(np.int32)), pa.nulls(len(head), pa.int32())], schema=schema)
+                again = again[(who[again] != who[of]) | (pos[again] != pos[of])]
+                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(around[head]), pa.array(who[head]), pa.array(pos[head].astype(np.int32)), pa.nulls(len(head), pa.int32())], schema=schema)
                 if len(again):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.array(z), pa.array(z), pa.array(who[again]), pa.array(left[again].astype(np.int32)), pa.array(right[again].astype(np.int32))], schema=schema)
+                    d, a, z = _runs(who[again], left[again], right[again])
+                    spread = tx.mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=schema)
 
     return run
 
@@ -198,15 +199,19 @@ def earlier(left: list[bytes], right: list[bytes], place: np.ndarray, length: in
     return np.concatenate(rows), np.concatenate(cuts)
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of [start, start+length) for each doc."""
+def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of [start, stop) for each doc."""
+    if not len(doc):
+        return doc, start, stop
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+    doc, start, stop = doc[order], start[order], stop[order]
+    code = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    far = np.maximum.accumulate(stop + code * (1 << 40))  # docs lie apart, so the largest stop so far is the own doc's
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)
+    new[1:] = (start + code * (1 << 40))[1:] > far[:-1]
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(doc)) - 1
-    return doc[head], start[head], start[tail] + length
+    return doc[head], start[head], far[tail] - code[tail] * (1 << 40)
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
@@ -228,7 +233,7 @@ def _compare(length: int, k: int, most: int = 60_000):
         changed[1:] = (doc[order][1:] != doc[order][:-1]) | (pos[order][1:] != pos[order][:-1])
         place[order] = np.cumsum(changed)
         row, i = earlier(left, right, place, length, k)
-        d, a, z = _runs(doc[row], pos[row] - i, length)
+        d, a, z = _runs(doc[row], pos[row] - i, pos[row] - i + length)
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=_SPANS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +259,31 @@ def _compare(length: int, k: int, most: int = 60_000):
     return run
 
 
+def _pack(keep: list[str]):
+    """mapInArrow: the kept columns and the compressed text with its size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for b in batches:
+            texts = tx.as_bytes(b.column("text"))
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64())], [*keep, "_packed", "_size"])
+
+    return run
+
+
+def _unpack(b: pa.RecordBatch) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(t, n, asbytes=True) for t, n in zip(b.column("_packed").to_pylist(), b.column("_size").to_pylist(), strict=True)]
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with their text compressed, so that a shuffle of whole texts writes about half."""
+    keep = [c for c in rows.columns if c != "text"]
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(_pack(keep), f"{kept}, _packed binary, _size long")
+
+
 def _around(length: int, k: int):
     """mapInArrow: for each (text, positions, hot flags) the bytes before and from each anchor on."""
     reach = length - k
@@ -261,7 +291,7 @@ def _around(length: int, k: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids, spots = tx.as_bytes(b.column("text")), b.column("doc_id").to_pylist(), b.column("spots").to_pylist()
+            texts, ids, spots = _unpack(b), b.column("doc_id").to_pylist(), b.column("spots").to_pylist()
             doc, pos, hot, left, right = [], [], [], [], []
             for t, d, s in zip(texts, ids, spots, strict=True):
                 for x in s:
@@ -300,34 +330,31 @@ def _strings(length: int, k: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = 100, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """(copies, repeats): ids and digests whose whole text is a copy, and (doc_id, pos, stop) intervals to cut out."""
+def spans(docs: DataFrame, length: int = 100, k: int = K) -> DataFrame:
+    """(doc_id, pos, stop) intervals to cut out; together they cover what repeats."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     rows = docs.select(ids.alias("doc_id"), "text").where(F.octet_length("text") >= length)
-    digests = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = shared.saved(digests.join(first, "digest").where("doc_id > first").select("doc_id", "digest").distinct())
-    only = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    found = shared.saved(only.mapInArrow(_find(length, k), "anchor long, d1 long, d2 long, doc_id long, pos int, stop int"))
-    settled = found.where("anchor IS NULL").select("doc_id", "pos", "stop")
-    hood = found.where("anchor IS NOT NULL").select("anchor", "d1", "d2", "doc_id", "pos")
-    often = hood.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hood = shared.saved(hood.join(often, "anchor"))
-    firsts = hood.groupBy("anchor", "d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    found = rows.mapInArrow(_find(length, k), "anchor long, around long, doc_id long, pos int, stop int")
+    own = Window.partitionBy("anchor")
+    found = found.withColumn("n", F.count(F.when(F.col("stop").isNull(), 1)).over(own)).where("n > 1 OR stop IS NOT NULL")
+    found = shared.saved(found.select("anchor", "around", "doc_id", "pos", "stop"))
+    settled = found.where("stop IS NOT NULL").select("doc_id", "pos", "stop")
+    hood = found.where("stop IS NULL").drop("stop")
+    firsts = hood.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     firsts = shared.saved(firsts)
     # a neighbourhood that stood earlier: all strings around the anchor repeat
-    late = hood.join(firsts, ["anchor", "d1", "d2"]).where(F.struct("doc_id", "pos") > F.col("first"))
+    late = hood.join(firsts, ["anchor", "around"]).where(F.struct("doc_id", "pos") > F.col("first"))
     late = late.select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("pos"), (F.col("pos") + length).alias("stop"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_ = firsts.join(several, "anchor").select("first.doc_id", "first.pos", (F.col("kinds") > HOT).alias("hot"))
     spots = open_.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("spots"))
-    around = shared.saved(only.join(spots, "doc_id").mapInArrow(_around(length, k), "doc_id long, pos int, hot boolean, head binary, left binary, right binary"))
+    around = shared.saved(packed(rows).join(spots, "doc_id").mapInArrow(_around(length, k), "doc_id long, pos int, hot boolean, head binary, left binary, right binary"))
     cold = around.where(~F.col("hot")).repartitionByRange("head").sortWithinPartitions("head")
     repeats = cold.select("doc_id", "pos", "head", "left", "right").mapInArrow(_compare(length, k), "doc_id long, pos int, stop int")
     strings = around.where("hot").mapInArrow(_strings(length, k), "w1 long, w2 long, doc_id long, pos int").distinct()
     least = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     hot = strings.join(least, ["w1", "w2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", (F.col("pos") + length).alias("stop"))
-    return copies, settled.unionByName(late).unionByName(repeats).unionByName(hot)
+    return settled.unionByName(late).unionByName(repeats).unionByName(hot)
 
 
 def merge_spans(spots: list[dict], size: int) -> list[tuple[int, int]]:
@@ -346,10 +373,10 @@ def merge_spans(spots: list[dict], size: int) -> list[tuple[int, int]]:
 def _cut(keep: list[str], whole_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spots, copy = tx.as_bytes(b.column("text")), b.column("spots").to_pylist(), b.column("copy").to_pylist()
+            texts, spots = _unpack(b), b.column("spots").to_pylist()
             n, removed, runs, sha, kept_texts = [], [], [], [], []
-            for t, s, c in zip(texts, spots, copy, strict=True):
-                cuts = [(0, len(t))] if c else merge_spans(s or [], len(t))
+            for t, s in zip(texts, spots, strict=True):
+                cuts = merge_spans(s or [], len(t))
                 edge = [0, *(x for cut in cuts for x in cut), len(t)]
                 kept = b"".join([t[a:z] for a, z in zip(edge[::2], edge[1::2], strict=True)])
                 n.append(len(t))
@@ -367,13 +394,10 @@ def _cut(keep: list[str], whole_text: bool):
 
 def dedup(docs: DataFrame, keep: list[str], length: int = 100, k: int = K, whole_text: bool = False) -> DataFrame:
     """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 (or the kept bytes) of every row."""
-    copies, cut = spans(docs, length, k)
-    per_doc = cut.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
+    per_doc = spans(docs, length, k).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
     columns = [*dict.fromkeys([*keep, "text"])]
-    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_digest"))
-    rows = rows.join(per_doc.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    mark = copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("copy"))
-    rows = rows.join(mark, ["_id", "_digest"], "left").select(*columns, "spots", "copy")
+    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"))
+    rows = packed(rows).join(per_doc.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     last = "kept binary" if whole_text else "kept_sha256 string"
     return rows.mapInArrow(_cut(keep, whole_text), f"{kept}, n_bytes long, n_removed long, n_spans long, {last}")
