@@ -36,7 +36,8 @@ from . import shared
 from . import text as tx
 
 K = 32
-HOT = 4000
+#: Suffixes with the same leading bytes that one task sorts; more are cut over tasks.
+HOT = 100_000
 LAST_ID = (1 << 63) - 1
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
