@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import delivery, snapshot, state
+
 
 def queries() -> dict:
-    return {}
+    return state.plans.queries | snapshot.plans.queries | delivery.plans.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return state.plans.sql | snapshot.plans.sql | delivery.plans.sql
