@@ -18,11 +18,18 @@ from pyspark.sql import functions as F
 from tidelog.llm import bpe, mixing, ngram_join, quality_classifier, shared, suffix_dedup
 
 
+def _wrapped(docs: DataFrame, *beside: str) -> DataFrame:
+    """All columns but the text in one struct, so that no name of theirs meets one of an operator's."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_doc"), *beside)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.train(docs, labels)
-    return quality_classifier.score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    scored = quality_classifier.score(_wrapped(docs, "text"), model, ["_doc", "text"])
+    return scored.where("predicted = 1").select("_doc.*", "text").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +39,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = ngram_join.join(docs.select("doc_id", "text"), 5, 0.8)
     marks = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("_class"), F.count("*").alias("_n"))
-    rows = docs.join(marks, "doc_id", "left").where(F.col("_class").isNull() | (F.col("_class") == F.col("doc_id")))
-    single = rows.where(F.coalesce(F.col("_n"), F.lit(1)) == 1).select(*docs.columns)
-    repeated = rows.where("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    rows = _wrapped(docs, "doc_id", "text").join(marks, "doc_id", "left").where(F.col("_class").isNull() | (F.col("_class") == F.col("doc_id")))
+    single = rows.where(F.coalesce(F.col("_n"), F.lit(1)) == 1)
+    repeated = rows.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select("_doc.*", "text").select(*docs.columns)
 
 
 def _whole_characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,18 +54,19 @@ def _whole_characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 100-byte strings that an earlier place holds; n_chars follows the text."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffix_dedup.dedup(docs, others, 100, whole_text=True).select(*others, "kept")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "text string"])
-    return cut.mapInArrow(_whole_characters, schema).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = suffix_dedup.dedup(_wrapped(docs, "doc_id", "text"), ["_doc"], 100, whole_text=True).select("_doc", "kept")
+    schema = f"_doc {cut.schema['_doc'].dataType.simpleString()}, text string"
+    whole = cut.mapInArrow(_whole_characters, schema).withColumn("_n", F.length("text").cast("long"))
+    return whole.select("_doc.*", "text", "_n").select(*(F.col("_n").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_taken_size"), "_copies")
-    rows = docs.withColumn("_size", mixing.size_of()).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    rows = _wrapped(docs, "doc_id", "text").withColumn("_size", mixing.size_of()).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken_size")))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select("_doc.*", "text").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,13 +18,15 @@ that start at anchors have to be compared.
 
 An anchor's hash and a neighbourhood's digest are 64 bits each and compared together.
 
-Null texts are empty; null ids come after all others; rows with equal ids are one place each, and only a
-strictly smaller (id, start) is earlier, so exact repeats of a row keep each other.
+Null texts are empty; null ids come after all others. Rows with equal ids (or none) but different texts
+are told apart, and ordered, by a tag of their text (text_tag); exact repeats of a row are one place
+and keep each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,6 +45,11 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def text_tag(text: bytes) -> int:
+    """15 bits that tell texts under one id apart."""
+    return zlib.crc32(text) & 0x7FFF
+
+
 def rolling(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from each place on (k a power of two), by doubling."""
     h, span, factor = _BYTE[buf], 1, np.array([_MUL])
@@ -82,9 +89,12 @@ def anchors(buf: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, k: i
 
 
 def _find(length: int, k: int):
-    """mapInArrow: neighbourhoods (kind 0) and intervals that are known to repeat (kind 1)."""
+    """mapInArrow: neighbourhoods (stop is null) and intervals that are known to repeat.
+
+    place is the text's tag and the position, tag * 2^32 + position.
+    """
     reach = length - k
-    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,24 +108,27 @@ def _find(length: int, k: int):
                     continue
                 doc = np.searchsorted(at, place, side="right") - 1
                 pos = place - at[doc]
+                tag = np.fromiter(map(text_tag, part), np.int64, len(part))[doc] << 32
                 left = np.maximum(pos - reach, 0)
                 right = np.minimum(pos + length, size[doc])
                 digest = b"".join([hashlib.blake2b(part[d][a:z], digest_size=8).digest() for d, a, z in zip(doc.tolist(), left.tolist(), right.tolist(), strict=True)])
                 # neighbourhoods cut short by their text's start differ in where the anchor lies
                 around = tx.mix(np.frombuffer(digest, np.uint64) + (pos - left).astype(np.uint64)).view(np.int64)
                 who = ids[lo:hi][doc]
-                order = np.lexsort((pos, who, around, h))
+                order = np.lexsort((tag + pos, who, around, h))
                 same = np.zeros(len(order), bool)
                 same[1:] = (h[order][1:] == h[order][:-1]) & (around[order][1:] == around[order][:-1])
                 head = order[~same]
                 of = head[(np.cumsum(~same) - 1)[same]]
                 again = order[same]
-                again = again[(who[again] != who[of]) | (pos[again] != pos[of])]
-                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(around[head]), pa.array(who[head]), pa.array(pos[head].astype(np.int32)), pa.nulls(len(head), pa.int32())], schema=schema)
+                again = again[(who[again] != who[of]) | ((tag + pos)[again] != (tag + pos)[of])]
+                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(around[head]), pa.array(who[head]), pa.array((tag + pos)[head]), pa.nulls(len(head), pa.int32())], schema=schema)
                 if len(again):
-                    d, a, z = _runs(who[again], left[again], right[again])
+                    of_doc, a, z = _runs(doc[again], left[again], right[again])
+                    d = ids[lo:hi][of_doc]
                     spread = tx.mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=schema)
+                    tags = np.fromiter((text_tag(part[i]) for i in of_doc.tolist()), np.int64, len(of_doc)) << 32
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(d), pa.array(tags + a), pa.array(z.astype(np.int32))], schema=schema)
 
     return run
 
@@ -215,7 +228,8 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return doc[head], start[head], far[tail] - code[tail] * (1 << 40)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("stop", pa.int32())])
+_SPAN = "doc_id long, tag int, pos int, stop int"
 
 
 def _compare(length: int, k: int, most: int = 60_000):
@@ -226,26 +240,28 @@ def _compare(length: int, k: int, most: int = 60_000):
 
     def settle(rows: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(rows)
-        doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
+        doc, tag, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "tag", "pos"))
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-        place = np.empty(len(doc), np.int64)
-        order = np.lexsort((pos, doc))
-        changed = np.ones(len(doc), bool)
-        changed[1:] = (doc[order][1:] != doc[order][:-1]) | (pos[order][1:] != pos[order][:-1])
-        place[order] = np.cumsum(changed)
+        order = np.lexsort((pos, tag, doc))
+        new_doc, new_place = np.zeros((2, len(doc)), bool)
+        new_doc[1:] = (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])
+        new_place[1:] = new_doc[1:] | (pos[order][1:] != pos[order][:-1])
+        number, place = np.empty((2, len(doc)), np.int64)
+        number[order], place[order] = np.cumsum(new_doc), np.cumsum(new_place)
         row, i = earlier(left, right, place, length, k)
-        d, a, z = _runs(doc[row], pos[row] - i, pos[row] - i + length)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=_SPANS)
+        d, a, z = _runs(number[row], pos[row] - i, pos[row] - i + length)
+        of = order[np.searchsorted(np.cumsum(new_doc), d)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=_SPANS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         count = 0
         for b in batches:
             t = pa.Table.from_batches([b])
-            head = t.column("head").combine_chunks().to_pylist()
+            head = [x[:k] for x in t.column("right").to_pylist()]
             if count + len(head) > most and count:
                 # cut where the leading bytes change
-                last = held[-1].column("head")[-1].as_py()
+                last = held[-1].column("right")[-1].as_py()[:k]
                 cut = 0
                 while cut < len(head) and head[cut] == last:
                     cut += 1
@@ -261,14 +277,14 @@ def _compare(length: int, k: int, most: int = 60_000):
 
 
 def _pack(keep: list[str]):
-    """mapInArrow: the kept columns and the compressed text with its size."""
+    """mapInArrow: the kept columns and the compressed text with its size and tag."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
         for b in batches:
             texts = tx.as_bytes(b.column("text"))
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64())], [*keep, "_packed", "_size"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64()), pa.array([text_tag(t) for t in texts], pa.int32())], [*keep, "_packed", "_size", "_tag"])
 
     return run
 
@@ -282,79 +298,84 @@ def packed(rows: DataFrame) -> DataFrame:
     """The rows with their text compressed, so that a shuffle of whole texts writes about half."""
     keep = [c for c in rows.columns if c != "text"]
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_pack(keep), f"{kept}, _packed binary, _size long")
+    return rows.mapInArrow(_pack(keep), f"{kept}, _packed binary, _size long, _tag int")
 
 
 def _around(length: int, k: int):
     """mapInArrow: for each (text, positions, hot flags) the bytes before and from each anchor on."""
     reach = length - k
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("hot", pa.bool_()), ("head", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids, spots = _unpack(b), b.column("doc_id").to_pylist(), b.column("spots").to_pylist()
-            doc, pos, hot, left, right = [], [], [], [], []
-            for t, d, s in zip(texts, ids, spots, strict=True):
+            texts, ids, tags, spots = _unpack(b), b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("spots").to_pylist()
+            doc, tag, pos, hot, left, right = [], [], [], [], [], []
+            for t, d, g, s in zip(texts, ids, tags, spots, strict=True):
                 for x in s:
                     p = x["pos"]
                     if p + k > len(t):
                         continue
                     doc.append(d)
+                    tag.append(g)
                     pos.append(p)
                     hot.append(x["hot"])
                     left.append(t[max(0, p - reach) : p])
                     right.append(t[p : p + length])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(hot, pa.bool_()), pa.array([r[:k] for r in right], pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(pos, pa.int32()), pa.array(hot, pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
 
     return run
 
 
 def _strings(length: int, k: int):
     """mapInArrow: digest and start of every string of a hot anchor's neighbourhoods."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 s = b.slice(lo, 2000)
-                doc, pos, out = [], [], []
-                for d, p, left, right in zip(*(s.column(c).to_pylist() for c in ("doc_id", "pos", "left", "right")), strict=True):
+                doc, tag, pos, out = [], [], [], []
+                for d, g, p, left, right in zip(*(s.column(c).to_pylist() for c in ("doc_id", "tag", "pos", "left", "right")), strict=True):
                     whole = left + right
                     for a in range(0, len(whole) - length + 1):
                         if a <= len(left):
                             out.append(hashlib.blake2b(whole[a : a + length], digest_size=16).digest())
                             doc.append(d)
+                            tag.append(g)
                             pos.append(p - len(left) + a)
                 w = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(pos, pa.int32())], schema=schema)
 
     return run
 
 
 def spans(docs: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(doc_id, pos, stop) intervals to cut out; together they cover what repeats."""
+    """(doc_id, tag, pos, stop) intervals to cut out; together they cover what repeats."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     rows = docs.select(ids.alias("doc_id"), "text").where(F.octet_length("text") >= length)
-    found = rows.mapInArrow(_find(length, k), "anchor long, around long, doc_id long, pos int, stop int")
+    found = rows.mapInArrow(_find(length, k), "anchor long, around long, doc_id long, place long, stop int")
     own = Window.partitionBy("anchor")
     found = found.withColumn("n", F.count(F.when(F.col("stop").isNull(), 1)).over(own)).where("n > 1 OR stop IS NOT NULL")
-    found = shared.saved(found.select("anchor", "around", "doc_id", "pos", "stop"))
-    settled = found.where("stop IS NOT NULL").select("doc_id", "pos", "stop")
+    found = shared.saved(found.select("anchor", "around", "doc_id", "place", "stop"))
+    tag, pos = (lambda p: F.shiftright(p, 32).cast("int")), (lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    settled = found.where("stop IS NOT NULL").select("doc_id", tag(F.col("place")).alias("tag"), pos(F.col("place")).alias("pos"), "stop")
     hood = found.where("stop IS NULL").drop("stop")
-    firsts = hood.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    firsts = hood.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     firsts = shared.saved(firsts)
     # a neighbourhood that stood earlier: all strings around the anchor repeat
-    late = hood.join(firsts, ["anchor", "around"]).where(F.struct("doc_id", "pos") > F.col("first"))
-    late = late.select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("pos"), (F.col("pos") + length).alias("stop"))
+    late = hood.join(firsts, ["anchor", "around"]).where(F.struct("doc_id", "place") > F.col("first"))
+    late = late.select("doc_id", tag(F.col("place")).alias("tag"), F.greatest(F.lit(0), pos(F.col("place")) - (length - k)).alias("pos"), (pos(F.col("place")) + length).alias("stop"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = firsts.join(several, "anchor").select("first.doc_id", "first.pos", (F.col("kinds") > HOT).alias("hot"))
-    spots = open_.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("spots"))
-    around = shared.saved(packed(rows).join(spots, "doc_id").mapInArrow(_around(length, k), "doc_id long, pos int, hot boolean, head binary, left binary, right binary"))
-    cold = around.where(~F.col("hot")).repartitionByRange("head").sortWithinPartitions("head")
-    repeats = cold.select("doc_id", "pos", "head", "left", "right").mapInArrow(_compare(length, k), "doc_id long, pos int, stop int")
-    strings = around.where("hot").mapInArrow(_strings(length, k), "w1 long, w2 long, doc_id long, pos int").distinct()
-    least = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = strings.join(least, ["w1", "w2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", (F.col("pos") + length).alias("stop"))
+    open_ = firsts.join(several, "anchor").select("first.doc_id", tag(F.col("first.place")).alias("tag"), pos(F.col("first.place")).alias("pos"), (F.col("kinds") > HOT).alias("hot"))
+    spots = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "hot")).alias("spots"))
+    texts = packed(rows).withColumnRenamed("_tag", "tag").join(spots, ["doc_id", "tag"])
+    around = shared.saved(texts.mapInArrow(_around(length, k), "doc_id long, tag int, pos int, hot boolean, left binary, right binary"))
+    head = F.substring("right", 1, k)
+    cold = around.where(~F.col("hot")).repartitionByRange(head).sortWithinPartitions(head)
+    repeats = cold.select("doc_id", "tag", "pos", "left", "right").mapInArrow(_compare(length, k), _SPAN)
+    strings = around.where("hot").mapInArrow(_strings(length, k), "w1 long, w2 long, doc_id long, tag int, pos int").distinct()
+    least = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hot = strings.join(least, ["w1", "w2"]).where(F.struct("doc_id", "tag", "pos") > F.col("first")).select("doc_id", "tag", "pos", (F.col("pos") + length).alias("stop"))
     return settled.unionByName(late).unionByName(repeats).unionByName(hot)
 
 
@@ -395,10 +416,10 @@ def _cut(keep: list[str], whole_text: bool):
 
 def dedup(docs: DataFrame, keep: list[str], length: int = 100, k: int = K, whole_text: bool = False) -> DataFrame:
     """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 (or the kept bytes) of every row."""
-    per_doc = spans(docs, length, k).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
+    per_doc = spans(docs, length, k).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
     columns = [*dict.fromkeys([*keep, "text"])]
     rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"))
-    rows = packed(rows).join(per_doc.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    rows = packed(rows).join(per_doc.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), ["_id", "_tag"], "left").drop("_id", "_tag")
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     last = "kept binary" if whole_text else "kept_sha256 string"
     return rows.mapInArrow(_cut(keep, whole_text), f"{kept}, n_bytes long, n_removed long, n_spans long, {last}")
