@@ -56,8 +56,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 100-byte strings that an earlier place holds; n_chars follows the text."""
     cut = suffix_dedup.dedup(_wrapped(docs, "doc_id", "text"), ["_doc"], 100, whole_text=True).select("_doc", "kept")
     schema = f"_doc {cut.schema['_doc'].dataType.simpleString()}, text string"
-    whole = cut.mapInArrow(_whole_characters, schema).withColumn("_n", F.length("text").cast("long"))
-    return whole.select("_doc.*", "text", "_n").select(*(F.col("_n").alias(c) if c == "n_chars" else c for c in docs.columns))
+    whole = cut.mapInArrow(_whole_characters, schema).select("_doc.*", "text")
+    return whole.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

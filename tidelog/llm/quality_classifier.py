@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import labelled, stats
 
+MOST_RULES = 60
 Condition = tuple[str, bool, float]  # feature, True for >, threshold
 
 
@@ -125,6 +126,9 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: int = 3
     keep = (r.mean(0) > 1 / n) & (r.mean(0) < 1)
     paths, r = [c for c, k in zip(paths, keep, strict=True) if k], r[:, keep]
     w, b = _lasso_logistic(r, y.astype(np.float32), bias, lasso, steps)
+    while np.count_nonzero(w) > MOST_RULES:  # a sparser one, so that the expression stays compilable
+        lasso *= 1.6
+        w, b = _lasso_logistic(r, y.astype(np.float32), bias, lasso, steps)
     return RuleEnsemble(b, [(c, float(v)) for c, v in zip(paths, w, strict=True) if v != 0])
 
 
