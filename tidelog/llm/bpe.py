@@ -30,7 +30,7 @@ from . import word_counts
 
 #: Words with at least this share of the corpus enter the lexicon, so it holds 1/LEAST_SHARE words at most.
 LEAST_SHARE = 5e-6
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PIECES = 120_000, 60_000
 NO_MERGE = 1 << 60
 
 
@@ -100,7 +100,7 @@ class WordBpe:
                     ranked[at - 1] = find((ids[at - 1], ids[at]), NO_MERGE)
                 if at < len(ranked):
                     ranked[at] = find((ids[at], ids[at + 1]), NO_MERGE)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self.known.clear()
         self.known[piece] = out = tuple(ids)
         return out
@@ -326,10 +326,10 @@ def _over_texts(path: str, blob, keep: list[str], schema: pa.Schema, row):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, blob.value)
-        for b in batches:
+        for b in tx.slices(batches):
             texts = tx.as_bytes(b.column("text"))
             out = []
-            for lo, hi in tx.chunked(texts, 4 << 20):
+            for lo, hi in tx.chunked(texts, 2 << 20):
                 encoder.learn(set().union(*[t.split() for t in texts[lo:hi]]))
                 out += [row(encoder, t) for t in texts[lo:hi]]
             made = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)]

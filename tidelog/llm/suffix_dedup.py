@@ -97,7 +97,7 @@ def _find(length: int, k: int):
     schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tx.slices(batches):
             texts, ids = tx.as_bytes(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi in tx.chunked(texts):
                 part = texts[lo:hi]
@@ -281,7 +281,7 @@ def _pack(keep: list[str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
-        for b in batches:
+        for b in tx.slices(batches):
             texts = tx.as_bytes(b.column("text"))
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64()), pa.array([text_tag(t) for t in texts], pa.int32())], [*keep, "_packed", "_size", "_tag"])
@@ -307,7 +307,7 @@ def _around(length: int, k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tx.slices(batches):
             texts, ids, tags, spots = _unpack(b), b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("spots").to_pylist()
             doc, tag, pos, hot, left, right = [], [], [], [], [], []
             for t, d, g, s in zip(texts, ids, tags, spots, strict=True):
@@ -394,7 +394,7 @@ def merge_spans(spots: list[dict], size: int) -> list[tuple[int, int]]:
 
 def _cut(keep: list[str], whole_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tx.slices(batches):
             texts, spots = _unpack(b), b.column("spots").to_pylist()
             n, removed, runs, sha, kept_texts = [], [], [], [], []
             for t, s in zip(texts, spots, strict=True):

@@ -29,7 +29,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64; kept per process and grown by doubling."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(CHUNK_BYTES * 2, 1 << (n - 1).bit_length())
+        size = n + n // 8 if n > CHUNK_BYTES else CHUNK_BYTES + (1 << 16)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
@@ -104,6 +104,13 @@ def split(texts: list[bytes]) -> Words:
     return Words(buf, at, size, start, end, lo, hi)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are held twice at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -124,7 +131,7 @@ def per_text(names: dict[str, pa.DataType], compute, keep: list[str], text: str
     """A mapInArrow function that appends compute(list of texts) -> {name: values} to the kept columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = as_bytes(b.column(text))
             parts = [compute(texts[lo:hi]) for lo, hi in chunked(texts)]
             made = []

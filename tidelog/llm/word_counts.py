@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 250_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SCHEMA = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -33,7 +33,7 @@ def partial_counts(lower: bool, least_share: float, end: bytes | None = None):
             words, ns = [w for w, _ in kept], [n for _, n in kept]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64()), pa.array([total if i == 0 else 0 for i in range(len(kept))], pa.int64())], schema=_SCHEMA)
 
-        for b in batches:
+        for b in tx.slices(batches):
             for t in tx.as_bytes(b.column(0)):
                 words = (t.translate(LOWER) if lower else t).split()
                 seen.update(words)
