@@ -121,6 +121,30 @@ def test_lm_score(docs, empty):
     assert lm_scoring.score(empty, path).collect() == []
 
 
+def chain(rng, n):
+    """Prose in which each word leaves two choices for the next."""
+    words, at = ["river", "stone", "window", "letter", "garden", "market", "silver", "winter", "paper", "bottle"], rng.randrange(10)
+    out = []
+    for _ in range(n):
+        out.append(words[at])
+        at = (at * 3 + rng.choice((1, 2))) % 10
+    return " ".join(out)
+
+
+def test_lm_learns_from_every_text(spark, monkeypatch):
+    path, rng, learn, learnt = public_tokenizers.path("byte_bpe_50k.json"), random.Random(12), lm_scoring.train, []
+    first = spark.range(400).where(labelled.fold("id", 7) != 2).orderBy(F.xxhash64("id"), "id").first().id
+    junk = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=5)) for _ in range(180_000))
+    rows = [(i, junk if i == first else chain(rng, 150)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "PASSES", 1, raising=False)
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: learnt.append(learn(*a)))
+    assert lm_scoring.score(docs, path).count() == 400
+    sub = lm_scoring.Subwords(path)
+    every = [len(sub.ids([t.encode()])[1][0]) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert max(every) > 500_000 and sum(learnt) == sum(every)
+
+
 # -- 3, 10 -----------------------------------------------------------------------------------------
 
 
