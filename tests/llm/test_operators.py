@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, components, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, stats, suffix_dedup, toxicity
+from tidelog.llm import attention_lm, bpe, components, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, stats, suffix_dedup, toxicity
 from tidelog.llm.text import SYMBOLS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,6 +145,31 @@ def test_lm_learns_from_every_text(spark, monkeypatch):
     assert max(every) > 500_000 and sum(learnt) == sum(every)
 
 
+def test_lm_knows_more_than_counts(spark):
+    rng = random.Random(21)
+    docs = spark.createDataFrame([(i, chain(rng, 150)) for i in range(400)], "doc_id long, text string").repartition(3)
+    held = [r for r in lm_scoring.score(docs, public_tokenizers.path("byte_bpe_50k.json")).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) > 0.3 * tokens  # log10(10 / 2) = 0.7 is what there is to know
+
+
+def test_lm_windows_overlap_by_half():
+    ids = np.arange(1, 101)
+    cells, target, first = attention_lm.windows([ids], 0)
+    scored = [(t, c) for row, first_column in zip(target, first, strict=True) for c, t in enumerate(row) if c >= first_column and t >= 0]
+    assert [t for t, _ in scored] == list(ids)
+    half = attention_lm.WINDOW // 2
+    assert all(c >= min(half, k) for k, (_, c) in enumerate(scored))  # the ids before it that its window holds
+    v = attention_lm.Vocabulary.build(np.arange(6000), np.arange(6000) % 2 == 0, 0)
+    assert len(set(v.to_model[2000:])) > 3900
+    model = attention_lm.Model(v)
+    log, _ = attention_lm.score(model, [v.to_model[ids]])
+    z, _ = model._hidden(cells)
+    assert model.p["A"].shape == (32, 48) and np.isfinite(log).all()
+    model.ready()
+    assert np.allclose(model._infer(cells, half), z[:, half:], atol=1e-4)
+
+
 # -- 3, 10 -----------------------------------------------------------------------------------------
 
 
