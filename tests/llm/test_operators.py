@@ -374,6 +374,14 @@ def test_disguises_are_read(spark):
     assert sum(score[i] == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
 
 
+def test_each_doubled_letter_may_go():
+    words = {w: 50 for w in "bullshit killer asshole bottle river stone letter".split()}
+    reader = toxicity.Reader(toxicity.CharModel(words))
+    hidden = {"bbullshit": "bullshit", "kkiller": "killer", "asshoole": "asshole", "aasshole": "asshole", "bulllshitt": "bullshit", "kkiilleerr": "killer", "aasshhoollee": "asshole"}
+    assert {h: w in reader.restored(h.encode()) for h, w in hidden.items()} == dict.fromkeys(hidden, True)
+    assert reader.restored(b"bottle") == ["bottle"]
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 
