@@ -382,6 +382,17 @@ def test_each_doubled_letter_may_go():
     assert reader.restored(b"bottle") == ["bottle"]
 
 
+def test_spaced_letters_are_read():
+    words = {w: 50 for w in "you idiot is stupid man now the river stone a and i".split()}
+    reader = toxicity.Reader(toxicity.CharModel(words))
+    read = lambda t: {x for w in reader.words(t.encode()) for x in reader.restored(w)}
+    texts = ["you i d i o t. now", "i  d\ti\no t", "i\u00a0d\u00a0i\u00a0o\u00a0t", "you í d ì ö t, now", "you і d і о t", "(i d 1 o t)", "i. d. i. o. t.", "i d i o t !"]
+    assert [t for t in texts if "idiot" not in read(t)] == []
+    assert "stupid" in read("is a s t u p i d man") and "stupid" in read("a s t u p i d i d i o t") and "idiot" in read("a s t u p i d i d i o t")
+    assert reader.words(b"1 2 3 4") == b"1 2 3 4".split()
+    assert "idiot" in read("x q " * 500 + "i d i o t")
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 
