@@ -393,6 +393,27 @@ def test_spaced_letters_are_read():
     assert "idiot" in read("x q " * 500 + "i d i o t")
 
 
+def test_rare_words_are_in_the_channel(spark):
+    rng = random.Random(5)
+    common = ["river", "stone", "window", "letter", "garden"]
+    rows = [(i, " ".join(rng.choices(common, k=1000))) for i in range(200)] + [(900, "Wretch, wretch")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.char_model(docs, 1e-4)
+    assert model.words == set(common)
+    weight = {w: 1 + math.log(n) for w, n in Counter(w.lower().strip(",") for _, t in rows for w in t.split()).items()}
+    want = Counter()
+    for w, x in weight.items():
+        for g in toxicity.grams(w):
+            want[g] += x
+    assert {g: round(n, 6) for g, n in model.counts.items()} == {g: round(n, 6) for g, n in want.items()}
+    assert toxicity.readings("wr3tch", model)[0][0] == "wretch"
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    rows = [(i, " ".join([*rng.choices(common, k=300), *(["villain"] if i % 4 == 0 else [])])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, learned = toxicity.char_model(docs), toxicity.train(docs, labels).chars
+    assert learned.counts["vill"] > plain.counts["vill"] > 0
+
+
 # -- 9 ---------------------------------------------------------------------------------------------
 
 
