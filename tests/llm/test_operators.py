@@ -231,6 +231,14 @@ def test_html(spark):
     assert html_text.main_text(pages.where("false"), ["page_id"]).collect() == []
 
 
+def test_html_container_is_no_verdict():
+    prose = "The river that runs by the town is as old as the hills and it was here before any of us were. " * 3
+    sale = "Mega Bargain Sofa Lamp Chair Table Discount Voucher Order Today Call Now Free Delivery Cheap Cheap Cheap"
+    assert html_text.extract(f"<article><p>{prose}</p><p>{sale}</p><p>{prose}</p></article>") == f"{prose.strip()}\n{prose.strip()}"
+    finnish = "Joki virtaa kaupungin halki hitaasti kohti merta ja sen rannoilla kasvaa vanhoja koivuja joiden alla lapset leikkivat " * 3
+    assert html_text.extract(f"<div><a href=1>Etusivu</a></div><div>{finnish}</div><div>Haku</div>").startswith(finnish.strip())
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 
 

@@ -30,6 +30,7 @@ STOP_WORDS = frozenset(
 )
 SHORT, LONG = 70, 200
 SPARSE, DENSE = 0.2, 0.3
+STRAY = 0.1  # of a page's words: with fewer stop words its language is none of the known ones
 MOST_LINKED = 0.33
 
 #: Elements whose content is no text of the page.
@@ -142,22 +143,39 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def decide(block: Block, stop_words: frozenset[str] = STOP_WORDS) -> str:
-    """Pass 1."""
+def density(block: Block, stop_words: frozenset[str]) -> tuple[int, int]:
+    """Stop words and words of a block."""
+    words = _WORD.findall(block.text.lower())
+    return sum(w in stop_words for w in words), len(words)
+
+
+def decide(block: Block, stop_words: frozenset[str] = STOP_WORDS, usual: float = DENSE) -> str:
+    """Pass 1. An article or main element lowers what length and density are asked for, and low density counts there
+    only if it is clearly (three deviations) below the page's usual share of stop words; in a language that is not
+    known, length and link share alone decide."""
     n = len(block.text)
     if block.aside or block.linked > (0.6 if block.main else MOST_LINKED):
         return "bad"
-    if block.main:
-        return "good" if block.linked <= MOST_LINKED else "short"
-    if block.text[0] in "©®" or "©" in block.text[:80]:
+    if block.main and block.linked > MOST_LINKED:
+        return "short"
+    if not block.main and (block.text[0] in "©®" or "©" in block.text[:80]):
         return "bad"
-    if n < SHORT:
-        return "short" if block.linked == 0 else "bad"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in stop_words for w in words) / max(1, len(words))
-    if density >= DENSE:
-        return "good" if n > LONG else "near"
-    return "near" if density >= SPARSE else "bad"
+    short, long, sparse, dense = (SHORT // 2, SHORT, SPARSE / 2, DENSE - SPARSE / 2) if block.main else (SHORT, LONG, SPARSE, DENSE)
+    if n < short:
+        return "near" if block.main else "short" if block.linked == 0 else "bad"
+    hits, words = density(block, stop_words)
+    share = hits / max(1, words)
+    if usual < STRAY or share >= dense:
+        return "good" if n > long else "near"
+    if block.main and hits >= words * usual - 3 * (words * usual * (1 - usual)) ** 0.5:
+        return "near"
+    return "near" if share >= sparse else "bad"
+
+
+def usual_density(found: list[Block], stop_words: frozenset[str]) -> float:
+    """The share of stop words on a page, in blocks that nothing else speaks against."""
+    counts = [density(b, stop_words) for b in found if not b.aside and b.linked <= MOST_LINKED]
+    return sum(h for h, _ in counts) / max(1, sum(n for _, n in counts))
 
 
 def inherit(labels: list[str]) -> list[str]:
@@ -187,7 +205,14 @@ def extract(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
     found = blocks(page)
     if not found:
         return ""
-    labels = [decide(b, stop_words) for b in found]
+    usual = usual_density(found, stop_words)
+    labels = [decide(b, stop_words, usual) for b in found]
+    inner = [i for i, b in enumerate(found) if b.main and not b.aside]  # what stands around a container says nothing of its blocks
+    of_inner = [labels[i] for i in inner]
+    if "good" not in of_inner:
+        of_inner = ["good" if x == "near" else x for x in of_inner]
+    for i, x in zip(inner, inherit(of_inner), strict=True):
+        labels[i] = x
     if "good" not in labels:  # a page of short texts only: what nothing speaks against
         labels = ["good" if x == "near" else x for x in labels]
         if "good" not in labels:
