@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -239,6 +240,22 @@ def test_html_container_is_no_verdict():
     assert html_text.extract(f"<div><a href=1>Etusivu</a></div><div>{finnish}</div><div>Haku</div>").startswith(finnish.strip())
 
 
+def test_html_is_read_in_linear_time(spark):
+    quoted = " ".join(f'x{i}="{i}"' for i in range(1000))
+    broken = ["<a " + quoted, "<a " + '"' * 1_000_000, "<a " + "\"'" * 500_000, "<!" * 500_000, "</" * 500_000, "<script>" + "</script" * 100_000, '<a "' * 200_000]
+    for rest in broken:
+        began = time.perf_counter()
+        assert html_text.extract("<p>What stands before</p>" + rest) == "What stands before"
+        assert time.perf_counter() - began < 3
+    began = time.perf_counter()
+    assert html_text.extract("<div>" * 50_000 + "</p>" * 50_000 + "<p>deep") == "deep"
+    assert time.perf_counter() - began < 5
+    prose = "the river that runs by the town is as old as the hills and it was here before any of us were. " * 20_000
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{prose}</p></article>", "clash", 7), (1, "v", "<p>x</p>", None, 7)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.url: (r.text, r.n_chars) for r in html_text.main_text(pages, ["page_id", "url"]).collect()}
+    assert got == {"u": (prose.strip(), len(prose) - 1), "v": ("x", 1)}
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 
 

@@ -6,14 +6,16 @@ label of their nearest decided neighbours. Kept blocks are joined by a line feed
 
 A null, empty or text-less page gives an empty text; unclosed, stray and cut-off tags are read as
 browsers do where it matters (a block ends where the next begins); repeated pages are read each;
-other columns pass through untouched if they are kept.
+other columns, whatever their names, pass through untouched if they are kept and are not read otherwise.
+Pages are read whole by one scan in linear time, however long or broken; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,7 +47,10 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:(?:site|page|top|global|main)[_-]?header|header)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?/][^>]*>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag up to its end. What a part has matched is never given back, so the time is linear.
+_REST = re.compile(r"""(?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+""")
+_CLOSED = {x: re.compile(rf"</{x}\b[^>]*+(?:>|$)", re.I) for x in ("script", "style", "title", "textarea", "noscript", "iframe")}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,6 +64,38 @@ class Block:
     label: str = ""
 
 
+def tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None, None]:
+    """(start, end, lower-case name, closing, attributes) of each piece of markup, by one scan; comments and the like have no name.
+
+    A < that opens no tag is text; a comment without an end takes the rest of the page. A caller may send the place to go on from.
+    """
+    at = page.find("<")
+    while at >= 0:
+        two = page[at + 1 : at + 2]
+        closing = two == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        name, attributes, end = "", "", -1
+        if m:
+            rest = _REST.match(page, m.end())
+            if page.startswith(">", rest.end()):
+                name, attributes, end = m.group().lower(), rest.group(), rest.end() + 1
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end = stop + 3 if stop >= 0 else len(page)
+        elif page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at + 9)
+            end = stop + 3 if stop >= 0 else len(page)
+        elif two and two in "!?/":
+            end = page.find(">", at) + 1
+            if not end:  # nothing closes it, nor anything like it that follows
+                return
+        on = at + 1
+        if end >= 0:
+            on = yield at, end, name, closing, attributes
+            on = max(end, on or 0)
+        at = page.find("<", on)
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with what encloses them."""
     out: list[Block] = []
@@ -84,17 +121,19 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(entities.unescape(raw).strip())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    open_: Counter[str] = Counter()  # names on the stack
+    at, on, found = 0, None, tags(page)
+    while True:
+        try:
+            start, at_end, name, closing, attributes = found.send(on)
+        except StopIteration:
+            break
+        on = None
         if silent is None:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+            add(page[at:start])
+        at = at_end
+        if not name:
             continue
-        name, closing = name.lower(), bool(m.group(1))
         if silent is not None:
             if closing and name == silent:
                 silent = None
@@ -103,11 +142,11 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCKS or name in ("head", "title"):
                 end()
             if name in ("script", "style", "title", "textarea", "noscript", "iframe"):  # raw text: only its own end tag counts
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                stop = _CLOSED[name].search(page, at)
+                at = on = stop.end() if stop else len(page)
             elif name == "head":
                 pass  # what it holds is silent by itself, and its end tag may be missing
-            elif not m.group(3).rstrip().endswith("/"):
+            elif not attributes.rstrip().endswith("/"):
                 silent = name
             continue
         if name == "br":
@@ -118,22 +157,22 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             end()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while open_[name]:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
+                    if last == name:
                         break
             elif name not in VOID:
-                if name in ("p", "li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                    stack.pop()
-                elif stack and stack[-1][0] == "p":
-                    stack.pop()
+                if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd")):
+                    open_[stack.pop()[0]] -= 1
                 _, aside, main = stack[-1] if stack else ("", False, False)
-                names = " ".join(x for g in _ROLE.findall(m.group(3)) for x in g if x) if m.group(3) else ""
+                names = " ".join(x for g in _ROLE.findall(attributes) for x in g if x) if attributes else ""
                 own = name in ASIDE or bool(names) and bool(_BAD_NAME.search(names))
                 own = own or (not main and (name == "header" or bool(names) and bool(_HEADER_NAME.search(names)) or names == "banner"))
                 if name in ("body", "html", "article", "main"):
                     own = name in ASIDE
                 stack.append((name, aside or own, main or name in ("article", "main") or names == "main"))
+                open_[name] += 1
             in_link = 0 if name not in ("div", "span") else in_link
     if silent is None and at < len(page):
         rest = page[at:]
