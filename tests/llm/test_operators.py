@@ -9,7 +9,9 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,28 @@ def test_mix(docs, empty, bucket_rows):
     assert mixing.mix(empty).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_mix_equals_its_sql_on_repeated_rows(spark, seed):
+    """Rows alike, ids that are null or shared by different texts, texts without words."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices(["a", "bc", "d#$"], k=rng.randint(0, 40))) for _ in range(12)] + [None, ""]
+    some = [(rng.choice([None, 1, 2, 3, rng.randrange(100)]), rng.choice(texts), rng.choice([None, "x", "y", "z"])) for _ in range(24)]
+    rows = [r for r in some for _ in range(rng.choice([1, 2, 2, 7, 30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = Counter(con.execute(mixing.SQL).fetchall())
+    for bucket_rows in (1, 50_000):
+        got = mixing.mix(docs, bucket_rows=bucket_rows).select("doc_id", "size", "source_size", "target", "taken", "source").collect()
+        assert Counter(tuple(r)[:5] for r in got) == want
+    largest, taken, target = Counter(), Counter(), {}
+    for r in got:
+        largest[r.source] = max(largest[r.source], r.size)
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in target)
+
+
 # -- 2 ---------------------------------------------------------------------------------------------
 
 
