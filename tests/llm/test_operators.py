@@ -302,7 +302,7 @@ def test_bpe_digests(docs, empty):
 # -- 6 ---------------------------------------------------------------------------------------------
 
 
-def removed_by_hand(rows, length):
+def removed_by_hand(rows, length, made=lambda kept: hashlib.sha256(kept).hexdigest()):
     """Rows in order of id, null last, then of their text's tag; only a strictly smaller place is earlier."""
     order = lambda r: (*key(r[0]), suffix_dedup.text_tag(r[1]))
     rows = sorted(rows, key=order)
@@ -317,19 +317,49 @@ def removed_by_hand(rows, length):
                 cut[s : s + length] = b"\1" * length
         kept = bytes(c for c, x in zip(t, cut, strict=True) if not x)
         runs = sum(x and not (k and cut[k - 1]) for k, x in enumerate(cut))
-        out.append((i, len(t), sum(cut), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), sum(cut), runs, made(kept)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix_dedup(docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("run", [suffix_dedup.RUN, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, run):
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
     some = docs.where("doc_id IS NULL OR doc_id <> 78")
     want = removed_by_hand([(i, (t or "").encode()) for i, t, _ in ROWS if i != 78], 100)
     assert Counter(map(tuple, suffix_dedup.dedup(some, ["doc_id"]).collect())) == want
     assert suffix_dedup.dedup(empty, ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("run", [suffix_dedup.RUN, 5])
+def test_suffix_dedup_tells_rows_under_one_id_apart(spark, monkeypatch, run):
+    """Several hundred rows without an id or under shared ids: no row loses what only another repeats."""
+    monkeypatch.setattr(suffix_dedup, "RUN", run)
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(150)
+    rows = [(rng.choice([None, None, 1, 2, 2000]), prose(rng.randint(0, 250)) + (passage if rng.random() < 0.3 else "") + prose(60)) for _ in range(400)]
+    rows += [(i, prose(90) + passage) for i in range(3, 40)] + rows[:20] + [(1, passage + prose(200)), (2**63 - 1, passage)]
+    want = removed_by_hand([(i, t.encode()) for i, t in rows if i != 2**63 - 1], 100)
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ["doc_id"])
+    assert Counter(map(tuple, got.where("doc_id IS NULL OR doc_id < 9000").collect())) == want
+    monkeypatch.setattr(suffix_dedup, "text_tag", lambda text: zlib.crc32(text) & 1)  # the test sees rows that are mixed up
+    assert Counter(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect())) != want
+
+
+def test_suffix_dedup_compares_across_boundaries(spark, monkeypatch):
+    """A run that is cut into buckets and slabs, each of which sees a part of it."""
+    monkeypatch.setattr(suffix_dedup, "RUN", 10)
+    monkeypatch.setattr(suffix_dedup._compare, "__defaults__", (70,))
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(110)
+    ends = [prose(40) for _ in range(6)]
+    rows = [(i, prose(30) + rng.choice(ends) + passage + rng.choice(ends) + prose(30)) for i in range(600)]
+    want = removed_by_hand([(i, t.encode()) for i, t in rows], 100)
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ["doc_id"])
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_suffix_dedup_small_strings(spark):
     """Heavily periodic and random texts over two letters, with short strings."""
     rng = random.Random(7)

@@ -11,22 +11,22 @@ that start at anchors have to be compared.
 2. Neighbourhoods seen before are repeats as a whole. Where an anchor has several different ones,
    their suffixes are compared: sampled splitters range-partition them by their leading k bytes, each
    bucket sorts its suffixes (and, reversed, what stands before them) by multikey quicksort, and
-   equal strings are those that agree in a longest-common-prefix interval of both orders. Suffixes
-   with equal leading bytes never cross a boundary, except for anchors with more than HOT
-   neighbourhoods: those are cut over buckets and compared across them by digests of their strings.
-3. Intervals of each document are joined to its text (compressed for the shuffle), merged and cut out.
+   equal strings are those that agree in a longest-common-prefix interval of both orders.
+3. A run of more than RUN suffixes with equal leading bytes is dealt over buckets by all its bytes, and sorted and
+   compared there like any other; then the buckets' first places of each string are compared across boundaries.
+4. Intervals of each document are joined to its text (compressed for the shuffle), merged and cut out.
 
 An anchor's hash and a neighbourhood's digest are 64 bits each and compared together.
 
-Null texts are empty; null ids come after all others. Rows with equal ids (or none) but different texts
-are told apart, and ordered, by a tag of their text (text_tag); exact repeats of a row are one place
-and keep each other.
+Null and empty texts lose nothing; null ids come after all others. Rows with equal ids (or none) but different texts
+are told apart, and ordered, by 64 bits of their text's digest (text_tag); exact repeats of a row are one place
+and keep each other. Very long texts are read whole; an empty table gives an empty one; other columns, whatever
+their names, are not read. One task gathers the neighbourhoods of one anchor to count them; it spills, but isn't split.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,16 +38,36 @@ from . import shared
 from . import text as tx
 
 K = 32
-#: Suffixes with the same leading bytes that one task sorts; more are cut over tasks.
-HOT = 100_000
+#: Suffixes with the same leading bytes that one bucket takes whole; longer runs lie in several.
+RUN = 100_000
+#: Ids that occur more than once are known to all tasks by which of so many hash values they have.
+ID_BUCKETS = 1 << 16
 LAST_ID = (1 << 63) - 1
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def text_tag(text: bytes) -> int:
-    """15 bits that tell texts under one id apart."""
-    return zlib.crc32(text) & 0x7FFF
+    """64 bits that tell texts under one id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def text_tags(b: pa.RecordBatch, texts: list[bytes], shared_id: np.ndarray) -> np.ndarray:
+    """The tag of each text whose id may be another row's too (by its hash value), 0 for all others: zeros shuffle cheaply."""
+    tags = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(shared_id[b.column("id_bucket").to_numpy()]).tolist():
+        tags[i] = text_tag(texts[i])
+    return tags
+
+
+def identified(docs: DataFrame, *columns: str) -> tuple[DataFrame, np.ndarray]:
+    """The columns, doc_id (null: LAST_ID) and id_bucket, and which buckets hold an id of several rows."""
+    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc_id"))
+    rows = rows.withColumn("id_bucket", F.pmod(F.xxhash64("_doc_id"), F.lit(ID_BUCKETS)).cast("int"))
+    several = rows.groupBy("_doc_id", "id_bucket").count().where("count > 1").select("id_bucket").distinct()
+    shared_id = np.zeros(ID_BUCKETS, bool)
+    shared_id[[r.id_bucket for r in several.collect()]] = True
+    return rows, shared_id
 
 
 def rolling(buf: np.ndarray, k: int) -> np.ndarray:
@@ -88,17 +108,15 @@ def anchors(buf: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, k: i
     return places, h[places]
 
 
-def _find(length: int, k: int):
-    """mapInArrow: neighbourhoods (stop is null) and intervals that are known to repeat.
-
-    place is the text's tag and the position, tag * 2^32 + position.
-    """
+def _find(length: int, k: int, shared_id: np.ndarray):
+    """mapInArrow: neighbourhoods (stop is null) and intervals that are known to repeat."""
     reach = length - k
-    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
-            texts, ids = tx.as_bytes(b.column("text")), b.column("doc_id").to_numpy(zero_copy_only=False)
+            texts, ids = tx.as_bytes(b.column("text")), b.column("_doc_id").to_numpy()
+            tags = text_tags(b, texts, shared_id)
             for lo, hi in tx.chunked(texts):
                 part = texts[lo:hi]
                 size = np.fromiter(map(len, part), np.int64, len(part))
@@ -108,27 +126,27 @@ def _find(length: int, k: int):
                     continue
                 doc = np.searchsorted(at, place, side="right") - 1
                 pos = place - at[doc]
-                tag = np.fromiter(map(text_tag, part), np.int64, len(part))[doc] << 32
                 left = np.maximum(pos - reach, 0)
                 right = np.minimum(pos + length, size[doc])
                 digest = b"".join([hashlib.blake2b(part[d][a:z], digest_size=8).digest() for d, a, z in zip(doc.tolist(), left.tolist(), right.tolist(), strict=True)])
                 # neighbourhoods cut short by their text's start differ in where the anchor lies
                 around = tx.mix(np.frombuffer(digest, np.uint64) + (pos - left).astype(np.uint64)).view(np.int64)
-                who = ids[lo:hi][doc]
-                order = np.lexsort((tag + pos, who, around, h))
+                who, tag = ids[lo:hi][doc], tags[lo:hi][doc]
+                order = np.lexsort((pos, tag, who, around, h))
                 same = np.zeros(len(order), bool)
                 same[1:] = (h[order][1:] == h[order][:-1]) & (around[order][1:] == around[order][:-1])
                 head = order[~same]
                 of = head[(np.cumsum(~same) - 1)[same]]
                 again = order[same]
-                again = again[(who[again] != who[of]) | ((tag + pos)[again] != (tag + pos)[of])]
-                yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(around[head]), pa.array(who[head]), pa.array((tag + pos)[head]), pa.nulls(len(head), pa.int32())], schema=schema)
+                again = again[(who[again] != who[of]) | (tag[again] != tag[of]) | (pos[again] != pos[of])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[head].view(np.int64)), pa.array(around[head]), pa.array(who[head]), pa.array(tag[head]), pa.array(pos[head].astype(np.int32)), pa.nulls(len(head), pa.int32())], schema=schema
+                )
                 if len(again):
                     of_doc, a, z = _runs(doc[again], left[again], right[again])
                     d = ids[lo:hi][of_doc]
                     spread = tx.mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a.astype(np.uint64)).view(np.int64)
-                    tags = np.fromiter((text_tag(part[i]) for i in of_doc.tolist()), np.int64, len(of_doc)) << 32
-                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(d), pa.array(tags + a), pa.array(z.astype(np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(d), pa.array(tags[lo:hi][of_doc]), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=schema)
 
     return run
 
@@ -177,10 +195,14 @@ def _common(raw: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def earlier(left: list[bytes], right: list[bytes], place: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+Strings = tuple[np.ndarray, np.ndarray]
+
+
+def earlier(left: list[bytes], right: list[bytes], place: np.ndarray, length: int, k: int) -> tuple[Strings, Strings]:
     """(row, i) of each string of i bytes of left[row] and length-i of right[row] that a smaller place holds too.
 
-    left is what stands before the anchor, right starts with it; place orders the rows.
+    left is what stands before the anchor, right starts with it; place orders the rows. The second pair of arrays has
+    the first place of each different string.
     """
     rmat, rraw = _matrix(right, length)
     lmat, lraw = _matrix([x[::-1] for x in left], length - k)
@@ -189,12 +211,12 @@ def earlier(left: list[bytes], right: list[bytes], place: np.ndarray, length: in
     by_r, by_l = multikey_sort(rmat), multikey_sort(lmat)
     lcp_r, lcp_l = _common(rraw, by_r, rsize), _common(lraw, by_l, lsize)
     n = len(place)
-    rows, cuts = [], []
+    rows, cuts, firsts, first_cuts = [], [], [], []
     _, rank = np.unique(place, return_inverse=True)
     group_r, group_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for i in range(length - k + 1):
         has = (lsize >= i) & (rsize >= length - i)
-        if has.sum() < 2:
+        if not has.any():
             continue
         group_r[by_r] = np.cumsum(lcp_r < length - i)
         group_l[by_l] = np.cumsum(lcp_l < i) if i else 0
@@ -208,9 +230,11 @@ def earlier(left: list[bytes], right: list[bytes], place: np.ndarray, length: in
         late = at[rank[at] > head]
         rows.append(late)
         cuts.append(np.full(len(late), i))
+        firsts.append(at[new])
+        first_cuts.append(np.full(int(new.sum()), i))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(cuts)
+        return (np.zeros(0, np.int64),) * 2, (np.zeros(0, np.int64),) * 2
+    return (np.concatenate(rows), np.concatenate(cuts)), (np.concatenate(firsts), np.concatenate(first_cuts))
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,17 +252,18 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return doc[head], start[head], far[tail] - code[tail] * (1 << 40)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("stop", pa.int32())])
-_SPAN = "doc_id long, tag int, pos int, stop int"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("stop", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+_SPAN = "doc_id long, tag long, pos int, stop int, w1 long, w2 long"
 
 
-def _compare(length: int, k: int, most: int = 60_000):
+def _compare(length: int, k: int, cut_runs: bool, most: int = 60_000):
     """mapInArrow over a range partition that is sorted by the leading bytes: repeated intervals.
 
-    Whole runs of equal leading bytes are taken together, some ten thousand suffixes at a time.
+    Some ten thousand suffixes are settled at a time. Runs of equal leading bytes are taken together, unless cut_runs:
+    then the first place of each string goes out too (stop is null), to be compared across boundaries.
     """
 
-    def settle(rows: list[pa.Table]) -> pa.RecordBatch:
+    def settle(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(rows)
         doc, tag, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "tag", "pos"))
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
@@ -248,35 +273,40 @@ def _compare(length: int, k: int, most: int = 60_000):
         new_place[1:] = new_doc[1:] | (pos[order][1:] != pos[order][:-1])
         number, place = np.empty((2, len(doc)), np.int64)
         number[order], place[order] = np.cumsum(new_doc), np.cumsum(new_place)
-        row, i = earlier(left, right, place, length, k)
+        (row, i), (first, j) = earlier(left, right, place, length, k)
         d, a, z = _runs(number[row], pos[row] - i, pos[row] - i + length)
         of = order[np.searchsorted(np.cumsum(new_doc), d)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], schema=_SPANS)
+        none = pa.nulls(len(of), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of]), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32)), none, none], schema=_SPANS)
+        for lo in range(0, len(first) if cut_runs else 0, 100_000):
+            r, c = first[lo : lo + 100_000], j[lo : lo + 100_000]
+            strings = [(left[x][len(left[x]) - y :] if y else b"") + right[x][: length - y] for x, y in zip(r.tolist(), c.tolist(), strict=True)]
+            w = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in strings]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array((pos[r] - c).astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], schema=_SPANS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         count = 0
-        for b in batches:
+        for b in tx.slices(batches, 10_000):
             t = pa.Table.from_batches([b])
-            head = [x[:k] for x in t.column("right").to_pylist()]
-            if count + len(head) > most and count:
-                # cut where the leading bytes change
-                last = held[-1].column("right")[-1].as_py()[:k]
+            if count + len(t) > most and count:
                 cut = 0
-                while cut < len(head) and head[cut] == last:
-                    cut += 1
-                if cut < len(head):
-                    yield settle([*held, t.slice(0, cut)])
+                if not cut_runs:  # where the leading bytes change
+                    head, last = [x[:k] for x in t.column("right").to_pylist()], held[-1].column("right")[-1].as_py()[:k]
+                    while cut < len(head) and head[cut] == last:
+                        cut += 1
+                if cut < len(t):
+                    yield from settle([*held, t.slice(0, cut)])
                     held, count, t = [], 0, t.slice(cut)
             held.append(t)
             count += len(t)
         if held:
-            yield settle(held)
+            yield from settle(held)
 
     return run
 
 
-def _pack(keep: list[str]):
+def _pack(keep: list[str], shared_id: np.ndarray):
     """mapInArrow: the kept columns and the compressed text with its size and tag."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +314,7 @@ def _pack(keep: list[str]):
         for b in tx.slices(batches):
             texts = tx.as_bytes(b.column("text"))
             packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64()), pa.array([text_tag(t) for t in texts], pa.int32())], [*keep, "_packed", "_size", "_tag"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), packed, pa.array([len(t) for t in texts], pa.int64()), pa.array(text_tags(b, texts, shared_id))], [*keep, "_packed", "_size", "_tag"])
 
     return run
 
@@ -294,89 +324,66 @@ def _unpack(b: pa.RecordBatch) -> list[bytes]:
     return [codec.decompress(t, n, asbytes=True) for t, n in zip(b.column("_packed").to_pylist(), b.column("_size").to_pylist(), strict=True)]
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """The rows with their text compressed, so that a shuffle of whole texts writes about half."""
-    keep = [c for c in rows.columns if c != "text"]
+def packed(rows: DataFrame, shared_id: np.ndarray) -> DataFrame:
+    """The identified rows with their text compressed, so that a shuffle of whole texts writes about half, and _tag."""
+    keep = [c for c in rows.columns if c not in ("text", "id_bucket")]
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_pack(keep), f"{kept}, _packed binary, _size long, _tag int")
+    return shared.in_arrow(rows, _pack(keep, shared_id), f"{kept}, _packed binary, _size long, _tag long")
 
 
 def _around(length: int, k: int):
-    """mapInArrow: for each (text, positions, hot flags) the bytes before and from each anchor on."""
+    """mapInArrow: for each (text, positions, long flags) the bytes before and from each anchor on; long: its run is longer than RUN."""
     reach = length - k
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int32()), ("long", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
             texts, ids, tags, spots = _unpack(b), b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("spots").to_pylist()
-            doc, tag, pos, hot, left, right = [], [], [], [], [], []
+            doc, tag, pos, long, left, right = [], [], [], [], [], []
             for t, d, g, s in zip(texts, ids, tags, spots, strict=True):
                 for x in s:
                     p = x["pos"]
-                    if p + k > len(t):
-                        continue
                     doc.append(d)
                     tag.append(g)
                     pos.append(p)
-                    hot.append(x["hot"])
+                    long.append(x["long"])
                     left.append(t[max(0, p - reach) : p])
                     right.append(t[p : p + length])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(pos, pa.int32()), pa.array(hot, pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(pos, pa.int32()), pa.array(long, pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], schema=schema)
 
     return run
 
 
-def _strings(length: int, k: int):
-    """mapInArrow: digest and start of every string of a hot anchor's neighbourhoods."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("pos", pa.int32())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                s = b.slice(lo, 2000)
-                doc, tag, pos, out = [], [], [], []
-                for d, g, p, left, right in zip(*(s.column(c).to_pylist() for c in ("doc_id", "tag", "pos", "left", "right")), strict=True):
-                    whole = left + right
-                    for a in range(0, len(whole) - length + 1):
-                        if a <= len(left):
-                            out.append(hashlib.blake2b(whole[a : a + length], digest_size=16).digest())
-                            doc.append(d)
-                            tag.append(g)
-                            pos.append(p - len(left) + a)
-                w = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(pos, pa.int32())], schema=schema)
-
-    return run
-
-
-def spans(docs: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(doc_id, tag, pos, stop) intervals to cut out; together they cover what repeats."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    rows = docs.select(ids.alias("doc_id"), "text").where(F.octet_length("text") >= length)
-    found = rows.mapInArrow(_find(length, k), "anchor long, around long, doc_id long, place long, stop int")
+def spans(rows: DataFrame, shared_id: np.ndarray, length: int = 100, k: int = K) -> DataFrame:
+    """(doc_id, tag, pos, stop) intervals of identified rows to cut out; together they cover what repeats."""
+    rows = rows.select("_doc_id", "id_bucket", "text").where(F.octet_length("text") >= length)
+    found = shared.in_arrow(rows, _find(length, k, shared_id), "anchor long, around long, doc_id long, tag long, pos int, stop int")
     own = Window.partitionBy("anchor")
     found = found.withColumn("n", F.count(F.when(F.col("stop").isNull(), 1)).over(own)).where("n > 1 OR stop IS NOT NULL")
-    found = shared.saved(found.select("anchor", "around", "doc_id", "place", "stop"))
-    tag, pos = (lambda p: F.shiftright(p, 32).cast("int")), (lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    settled = found.where("stop IS NOT NULL").select("doc_id", tag(F.col("place")).alias("tag"), pos(F.col("place")).alias("pos"), "stop")
+    found = shared.saved(found.select("anchor", "around", "doc_id", "tag", "pos", "stop"))
+    settled = found.where("stop IS NOT NULL").select("doc_id", "tag", "pos", "stop")
     hood = found.where("stop IS NULL").drop("stop")
-    firsts = hood.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    firsts = shared.saved(firsts)
+    place = F.struct("doc_id", "tag", "pos")
+    firsts = shared.saved(hood.groupBy("anchor", "around").agg(F.min(place).alias("first")))
     # a neighbourhood that stood earlier: all strings around the anchor repeat
-    late = hood.join(firsts, ["anchor", "around"]).where(F.struct("doc_id", "place") > F.col("first"))
-    late = late.select("doc_id", tag(F.col("place")).alias("tag"), F.greatest(F.lit(0), pos(F.col("place")) - (length - k)).alias("pos"), (pos(F.col("place")) + length).alias("stop"))
+    late = hood.join(firsts, ["anchor", "around"]).where(place > F.col("first"))
+    late = late.select("doc_id", "tag", F.greatest(F.lit(0), F.col("pos") - (length - k)).alias("pos"), (F.col("pos") + length).alias("stop"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = firsts.join(several, "anchor").select("first.doc_id", tag(F.col("first.place")).alias("tag"), pos(F.col("first.place")).alias("pos"), (F.col("kinds") > HOT).alias("hot"))
-    spots = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "hot")).alias("spots"))
-    texts = packed(rows).withColumnRenamed("_tag", "tag").join(spots, ["doc_id", "tag"])
-    around = shared.saved(texts.mapInArrow(_around(length, k), "doc_id long, tag int, pos int, hot boolean, left binary, right binary"))
+    open_ = firsts.join(several, "anchor").select("first.*", (F.col("kinds") > RUN).alias("long"))
+    spots = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "long")).alias("spots"))
+    texts = packed(rows, shared_id).withColumnsRenamed({"_doc_id": "doc_id", "_tag": "tag"}).join(spots, ["doc_id", "tag"])
+    around = shared.saved(shared.in_arrow(texts, _around(length, k), "doc_id long, tag long, pos int, long boolean, left binary, right binary"))
     head = F.substring("right", 1, k)
-    cold = around.where(~F.col("hot")).repartitionByRange(head).sortWithinPartitions(head)
-    repeats = cold.select("doc_id", "tag", "pos", "left", "right").mapInArrow(_compare(length, k), _SPAN)
-    strings = around.where("hot").mapInArrow(_strings(length, k), "w1 long, w2 long, doc_id long, tag int, pos int").distinct()
-    least = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = strings.join(least, ["w1", "w2"]).where(F.struct("doc_id", "tag", "pos") > F.col("first")).select("doc_id", "tag", "pos", (F.col("pos") + length).alias("stop"))
-    return settled.unionByName(late).unionByName(repeats).unionByName(hot)
+    whole = around.where(~F.col("long")).repartitionByRange(head).sortWithinPartitions(head)
+    repeats = shared.in_arrow(whole, _compare(length, k, False), _SPAN).select("doc_id", "tag", "pos", "stop")
+    # long runs: no two neighbourhoods of an anchor are alike, so splitters fall inside a run
+    every = [F.col("right"), F.col("left")]
+    dealt = around.where("long").repartitionByRange(*every).sortWithinPartitions(*every)
+    cut = shared.saved(shared.in_arrow(dealt, _compare(length, k, True), _SPAN))
+    strings = cut.where("stop IS NULL").drop("stop")
+    least = strings.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    across = strings.join(least, ["w1", "w2"]).where(place > F.col("first")).select("doc_id", "tag", "pos", (F.col("pos") + length).alias("stop"))
+    return settled.unionByName(late).unionByName(repeats).unionByName(cut.where("stop IS NOT NULL").select("doc_id", "tag", "pos", "stop")).unionByName(across)
 
 
 def merge_spans(spots: list[dict], size: int) -> list[tuple[int, int]]:
@@ -392,11 +399,21 @@ def merge_spans(spots: list[dict], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(keep: list[str], whole_text: bool):
+#: What dedup can return of the remaining bytes: column, types, and how it is made.
+RESULTS = {
+    "sha256": ("kept_sha256", "string", pa.string(), lambda kept: hashlib.sha256(kept).hexdigest()),
+    "bytes": ("kept", "binary", pa.binary(), lambda kept: kept),
+    "text": ("kept", "string", pa.string(), lambda kept: kept.decode("utf-8", "ignore")),  # a character that a cut went through is left out
+}
+
+
+def _cut(keep: list[str], result: str):
+    name, _, kind, made = RESULTS[result]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches):
             texts, spots = _unpack(b), b.column("spots").to_pylist()
-            n, removed, runs, sha, kept_texts = [], [], [], [], []
+            n, removed, runs, out = [], [], [], []
             for t, s in zip(texts, spots, strict=True):
                 cuts = merge_spans(s or [], len(t))
                 edge = [0, *(x for cut in cuts for x in cut), len(t)]
@@ -404,22 +421,17 @@ def _cut(keep: list[str], whole_text: bool):
                 n.append(len(t))
                 removed.append(len(t) - len(kept))
                 runs.append(len(cuts))
-                if whole_text:
-                    kept_texts.append(kept)
-                else:
-                    sha.append(hashlib.sha256(kept).hexdigest())
-            last = pa.array(kept_texts, pa.binary()) if whole_text else pa.array(sha, pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), last], [*keep, "n_bytes", "n_removed", "n_spans", "kept" if whole_text else "kept_sha256"])
+                out.append(made(kept))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(out, kind)], [*keep, "n_bytes", "n_removed", "n_spans", name])
 
     return run
 
 
-def dedup(docs: DataFrame, keep: list[str], length: int = 100, k: int = K, whole_text: bool = False) -> DataFrame:
-    """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 (or the kept bytes) of every row."""
-    per_doc = spans(docs, length, k).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
-    columns = [*dict.fromkeys([*keep, "text"])]
-    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"))
-    rows = packed(rows).join(per_doc.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), ["_id", "_tag"], "left").drop("_id", "_tag")
+def dedup(docs: DataFrame, keep: list[str], length: int = 100, k: int = K, result: str = "sha256") -> DataFrame:
+    """The kept columns, n_bytes, n_removed, n_spans and kept_sha256 of every row; or, as `result` says, what is kept, as bytes or as text."""
+    rows, shared_id = identified(docs, *dict.fromkeys([*keep, "text"]))
+    per_doc = spans(rows, shared_id, length, k).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "stop")).alias("spots"))
+    whole = packed(rows, shared_id).join(per_doc.withColumnsRenamed({"doc_id": "_doc_id", "tag": "_tag"}), ["_doc_id", "_tag"], "left")
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    last = "kept binary" if whole_text else "kept_sha256 string"
-    return rows.mapInArrow(_cut(keep, whole_text), f"{kept}, n_bytes long, n_removed long, n_spans long, {last}")
+    name, sql, _, _ = RESULTS[result]
+    return shared.in_arrow(whole.drop("_doc_id", "_tag"), _cut(keep, result), f"{kept}, n_bytes long, n_removed long, n_spans long, {name} {sql}")
