@@ -3,13 +3,15 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from test_operators import ROWS, grams, key, removed_by_hand, targets_by_hand
 
 import corpus_pipeline
-from tidelog.llm import quality_classifier
+from tidelog.llm import mixing, pipeline, quality_classifier
 
 
 @pytest.fixture(scope="module")
@@ -58,9 +60,8 @@ def test_stages(spark, tables):
 
     cut = stage["suffix-array dedup"](spark, single, tables).cache()
     assert cut.columns == docs.columns
-    digests = removed_by_hand([(i, (t or "").encode()) for i, t, _ in keep], 100)
-    whole = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in cut.collect() if r.text.isascii())
-    assert all(n <= Counter((d[0], d[4]) for d in digests.elements())[k] for k, n in whole.items()) and whole
+    by_hand = removed_by_hand([(i, (t or "").encode()) for i, t, _ in keep], 100, lambda kept: kept.decode("utf-8", "ignore"))
+    assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter((d[0], d[4]) for d in by_hand.elements())
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
     mixed = stage["mixing sources"](spark, cut, tables).cache()
@@ -73,7 +74,12 @@ def test_stages(spark, tables):
     target = targets_by_hand(size)
     largest = max(len(t.encode().split()) for _, t, _ in rows(cut))
     assert all(abs(taken[s] - target[s]) <= largest for s in size)
-    assert max(Counter(rows(mixed)).values()) <= 2
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r.doc_id, r.text, r.source) for r in cut.collect()], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = Counter()
+    for i, n, _, _, words in con.execute(mixing.SQL).fetchall():
+        want[i, n] += words // n if n else 0
+    assert Counter((i, len(t.encode().split())) for i, t, _ in rows(mixed) if t.split()) == +want
 
     from tokenizers import Tokenizer
 
@@ -83,6 +89,30 @@ def test_stages(spark, tables):
     assert coded == Counter((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids)
 
 
+def test_mix_takes_rows_alike_one_by_one(spark):
+    """Rows without an id, rows alike that are taken in part, ids shared by different texts and sources."""
+    rows_ = [(None, "a b c", "x")] * 9 + [(None, "d e f", "x")] * 4 + [(1, "g h i", "x"), (1, "j k l", "y"), (1, "j k l", "x"), (2, "m " * 30, "y"), (None, None, None), (3, "", "y")]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows_], "doc_id long, text string, source string, size string, _copies string").repartition(3)
+    taken = Counter(rows(pipeline.mix(spark, docs, "")))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows_, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = Counter()
+    for i, n, _, _, words in con.execute(mixing.SQL).fetchall():
+        want[i, n] += words // n if n else 0
+    got = Counter()
+    for (i, t, _), k in taken.items():
+        if t:
+            got[i, len(t.split())] += k
+    assert got == +want
+    assert pipeline.mix(spark, docs, "").columns == docs.columns
+
+
+def test_empty_tables(spark, tables):
+    none = spark.read.parquet(f"{tables}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, tables).collect() == []
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)

@@ -5,9 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, pipeline, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -67,8 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     every = (op1_mix_sources, op2_lm_score, op3_quality_classifier, op4_html_text, op5_bpe, op6_suffix_dedup, op7_ngram_join, op8_toxicity, op9_embedding_dedup, op10_quality_rules)
-    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in every} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_mix_sources": mixing.SQL} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
