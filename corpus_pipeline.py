@@ -1,96 +1,9 @@
-"""The corpus pipeline: filter, join near copies, cut repeats, mix, encode.
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, suffix-array dedup, mixing, BPE encoding.
 
-STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents that
-go on, with the columns of `documents`; the last returns the encoder's rows. run() applies them in
-turn and keeps each stage's result as Parquet in the shared folder.
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents that go on.
+run(spark, sf_dir) applies them in turn. ORACLE_SQL is None, as SQL can't express the stages.
 """
 
-from __future__ import annotations
+from tidelog.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-from collections.abc import Iterable, Iterator
-
-import public_tokenizers
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidelog.llm import bpe, mixing, ngram_join, quality_classifier, shared, suffix_dedup
-
-
-def _wrapped(docs: DataFrame, *beside: str) -> DataFrame:
-    """All columns but the text in one struct, so that no name of theirs meets one of an operator's."""
-    others = [c for c in docs.columns if c != "text"]
-    return docs.select(F.struct(*others).alias("_doc"), *beside)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labelled ones among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_classifier.train(docs, labels)
-    scored = quality_classifier.score(_wrapped(docs, "text"), model, ["_doc", "text"])
-    return scored.where("predicted = 1").select("_doc.*", "text").select(*docs.columns)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group that 5-gram Jaccard links of 0.8 or more connect.
-
-    Null ids are in no group and stay; of repeated rows one stays.
-    """
-    groups = ngram_join.join(docs.select("doc_id", "text"), 5, 0.8)
-    marks = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("_class"), F.count("*").alias("_n"))
-    rows = _wrapped(docs, "doc_id", "text").join(marks, "doc_id", "left").where(F.col("_class").isNull() | (F.col("_class") == F.col("doc_id")))
-    single = rows.where(F.coalesce(F.col("_n"), F.lit(1)) == 1)
-    repeated = rows.where("_n > 1").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select("_doc.*", "text").select(*docs.columns)
-
-
-def _whole_characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes to text; a character that a cut went through is left out."""
-    for b in batches:
-        texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "kept"), texts], [*(c for c in b.schema.names if c != "kept"), "text"])
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that an earlier place holds; n_chars follows the text."""
-    cut = suffix_dedup.dedup(_wrapped(docs, "doc_id", "text"), ["_doc"], 100, whole_text=True).select("_doc", "kept")
-    schema = f"_doc {cut.schema['_doc'].dataType.simpleString()}, text string"
-    whole = cut.mapInArrow(_whole_characters, schema).select("_doc.*", "text")
-    return whole.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_taken_size"), "_copies")
-    rows = _wrapped(docs, "doc_id", "text").withColumn("_size", mixing.size_of()).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken_size")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return rows.select("_doc.*", "text").select(*docs.columns)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(docs, path, bpe.compile_lexicon(docs, path), ["doc_id"])
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_copies),
-    ("suffix-array dedup", repeats),
-    ("mixing sources", mix),
-    ("BPE encoding", encode),
-]
-
-#: SQL can't express the stages; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared.folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
