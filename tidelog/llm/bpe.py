@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from . import word_counts
+from . import shared, word_counts
 
 #: Words with at least this share of the corpus enter the lexicon, so it holds 1/LEAST_SHARE words at most.
 LEAST_SHARE = 5e-6
@@ -342,7 +342,7 @@ def _run(docs: DataFrame, path: str, lexicon: Lexicon, keep: list[str], schema:
     blob = docs.sparkSession.sparkContext.broadcast(lexicon.dump())
     kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     columns = [*dict.fromkeys([*keep, "text"])]
-    return docs.select(*columns).mapInArrow(_over_texts(path, blob, keep, schema, row), f"{kept}, {ddl}" if kept else ddl)
+    return shared.in_arrow(docs.select(*columns), _over_texts(path, blob, keep, schema, row), f"{kept}, {ddl}" if kept else ddl)
 
 
 def encode(docs: DataFrame, path: str, lexicon: Lexicon, keep: list[str]) -> DataFrame:

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import shared
+
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     """
@@ -271,4 +273,4 @@ def _run(keep: list[str], column: str, stop_words: frozenset[str]):
 def main_text(pages: DataFrame, keep: list[str], column: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """The kept columns, text and n_chars of every page."""
     kept = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
-    return pages.select(*keep, column).mapInArrow(_run(keep, column, stop_words), f"{kept}, text string, n_chars long")
+    return shared.in_arrow(pages.select(*keep, column), _run(keep, column, stop_words), f"{kept}, text string, n_chars long")

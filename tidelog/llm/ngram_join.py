@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, digest, bands): bands is null for a text without words."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     run = tx.per_text({"bands": pa.list_(pa.int64())}, _signer(n, bands, rows), ["doc_id", "digest"])
-    return marked.mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return shared.in_arrow(marked, run, "doc_id long, digest string, bands array<long>")
 
 
 def shingle_sets(n: int):
@@ -176,8 +176,8 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0
     # one row of the documents for each candidate class: its smallest id, with the class's text
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").join(groups.withColumnRenamed("id", "doc_id"), "doc_id")
     texts = texts.where(F.md5(F.col("text").cast("binary")) == F.col("digest")).dropDuplicates(["doc_id", "digest"])
-    sets = texts.select(F.col("doc_id").alias("rep"), "component", "n", "copies", "text").mapInArrow(
-        tx.per_text({"grams": pa.list_(pa.int64())}, shingle_sets(n), ["rep", "component", "n", "copies"]), "rep long, component long, n long, copies long, grams array<long>"
+    sets = shared.in_arrow(
+        texts.select(F.col("doc_id").alias("rep"), "component", "n", "copies", "text"), tx.per_text({"grams": pa.list_(pa.int64())}, shingle_sets(n), ["rep", "component", "n", "copies"]), "rep long, component long, n long, copies long, grams array<long>"
     )
     blocks = F.ceil(F.col("n") / block)
     dealt = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as tx
 
 COUNTS = ("n_words", "n_bytes", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "n_runs")
@@ -80,7 +81,7 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{c} long" for c in COUNTS])
     columns = [*dict.fromkeys([*keep, "text"])]
     run = tx.per_text(dict.fromkeys(COUNTS, pa.int64()), compute, keep)
-    return docs.select(*columns).mapInArrow(run, schema)
+    return shared.in_arrow(docs.select(*columns), run, schema)
 
 
 #: Ratios, each defined for empty texts (0).

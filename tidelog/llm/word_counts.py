@@ -53,5 +53,5 @@ def partial_counts(lower: bool, least_share: float, end: bytes | None = None):
 
 def counts(docs: DataFrame, lower: bool = False, least_share: float = 0.0, end: bytes | None = None) -> DataFrame:
     """(word binary, n long) summed over all rows; hot words are pre-aggregated in each task."""
-    rows = docs.select("text").mapInArrow(partial_counts(lower, least_share, end), "word binary, n long, docs long")
+    rows = shared.in_arrow(docs.select("text"), partial_counts(lower, least_share, end), "word binary, n long, docs long")
     return shared.saved(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("total")))
