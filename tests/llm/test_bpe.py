@@ -1,5 +1,8 @@
 """The encoder against its library, on adversarial texts and on the lexicon's own words."""
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -32,11 +35,12 @@ def test_any(text):
 
 
 def test_lexicon_is_a_minimal_perfect_hash():
-    words = {w.encode(): OURS.word(w.encode()) for w in ["tap", "taps", "top", "tops", "stop", "stops", "été"]}
+    some = [w.encode() for w in ["tap", "taps", "top", "tops", "stop", "stops", "été"]]
+    words = dict(zip(some, OURS.words(some), strict=True))
     lexicon = bpe.Lexicon.map(bpe.Lexicon.build(words).dump())
     ranks = lexicon.rank([*sorted(words), b"to", b"topss", b"", b"x"])
     assert ranks.tolist() == [*range(len(words)), -1, -1, -1, -1]
-    assert [lexicon.outputs(r) for r in range(len(words))] == [words[w] for w in sorted(words)]
+    assert lexicon.outputs(np.arange(len(words))) == [words[w] for w in sorted(words)]
     assert lexicon.states < sum(map(len, words))
     assert bpe.Lexicon.map(bpe.Lexicon.build({}).dump()).rank([b"a"]).tolist() == [-1]
 
@@ -44,3 +48,11 @@ def test_lexicon_is_a_minimal_perfect_hash():
 def test_long_pieces_merge_alike():
     for piece in ("x" * 65, "thequickbrownfox" * 20, "aab" * 200):
         check(piece)
+
+
+def test_many_words_merge_as_one_by_one():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß.,-'", k=rng.randint(1, 20))).encode() for _ in range(3000)]
+    together = OURS.words(words)
+    assert together == [x for w in words for x in OURS.words([w])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in together] == [LIBRARY.encode(w.decode(), add_special_tokens=False).ids for w in words]

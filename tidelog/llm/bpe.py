@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,7 +30,9 @@ from . import shared, word_counts
 
 #: Words with at least this share of the corpus enter the lexicon, so it holds 1/LEAST_SHARE words at most.
 LEAST_SHARE = 5e-6
-CACHE_WORDS, CACHE_PIECES = 120_000, 60_000
+CACHE_WORDS = 200_000
+#: Pieces of more bytes are merged one by one, over a heap.
+LONG_PIECE = 64
 NO_MERGE = 1 << 60
 
 
@@ -67,42 +69,64 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.ids[a], self.ids[b]] = rank << 20 | self.ids[a + b]
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], np.int64((1 << 63) - 1))
+        self.ranks = np.append(np.array(list(self.merges.values()), np.int64)[order], NO_MERGE)
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.piece = regex.compile(pieces.replace(r"[^\s", f"[^{space}"))
+        pieces = pieces.replace(r"[^\s", f"[^{space}")
+        self.piece = regex.compile(pieces + "|\n")
+        self.ascii_piece = re.compile(pieces.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9") + "|\n")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         alphabet = byte_alphabet()
-        self.first = [self.ids[c] for c in alphabet]
-        self.last = [self.ids[c + self.suffix] for c in alphabet]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: str) -> tuple[int, ...]:
-        """Ids of one piece: bytes, then always the adjacent pair of the lowest rank, leftmost first."""
-        done = self.known.get(piece)
-        if done is not None:
-            return done
-        raw = piece.encode()
-        ids = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        ranks = self.merges
-        if len(ids) > 64:
-            ids = self._merge_long(ids)
-        else:
-            find = ranks.get
-            ranked = [find(pair, NO_MERGE) for pair in zip(ids, ids[1:], strict=False)]
-            while ranked:
-                best = min(ranked)
-                if best == NO_MERGE:
-                    break
-                at = ranked.index(best)
-                ids[at : at + 2] = [best & 0xFFFFF]
-                del ranked[at]
-                if at:
-                    ranked[at - 1] = find((ids[at - 1], ids[at]), NO_MERGE)
-                if at < len(ranked):
-                    ranked[at] = find((ids[at], ids[at + 1]), NO_MERGE)
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        self.known[piece] = out = tuple(ids)
+        self.first = np.array([self.ids[c] for c in alphabet], np.int64)
+        self.last = np.array([self.ids[c + self.suffix] for c in alphabet], np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank << 20 | merged id of each pair of ids, NO_MERGE if there is none."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.ranks[at], NO_MERGE)
+
+    def merge(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece as 32-bit integers: bytes, then always the adjacent pair of the lowest rank, leftmost first.
+
+        Pieces of one length are merged together: each step takes one pair from every piece that has any left, so the
+        rows of the matrix stay of one length.
+        """
+        out: dict[str, bytes] = {}
+        by_size: dict[int, list[str]] = {}
+        for p in pieces:
+            by_size.setdefault(len(p) if p.isascii() else len(p.encode()), []).append(p)
+        for size, names in by_size.items():
+            text = np.frombuffer("".join(names).encode(), np.uint8).reshape(len(names), size)
+            ids = np.concatenate([self.first[text[:, :-1]], self.last[text[:, -1:]]], 1)
+            if size > LONG_PIECE:
+                for p, row in zip(names, ids.tolist(), strict=True):
+                    out[p] = np.array(self._merge_long(row), "<u4").tobytes()
+                continue
+            who, rank = np.arange(len(names)), self._rank(ids[:, :-1], ids[:, 1:])
+            while len(who):
+                width = ids.shape[1]
+                best = rank.min(1) if width > 1 else np.full(len(who), NO_MERGE)
+                done = best == NO_MERGE
+                if done.any():
+                    flat = ids[done].astype("<u4").tobytes()
+                    for i, k in enumerate(who[done].tolist()):
+                        out[names[k]] = flat[4 * width * i : 4 * width * (i + 1)]
+                    who, ids, rank, best = who[~done], ids[~done], rank[~done], best[~done]
+                    if not len(who):
+                        break
+                at, row = rank.argmin(1), np.arange(len(who))
+                column = np.arange(width - 1)[None, :]
+                ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)
+                ids[row, at] = best & 0xFFFFF
+                column = column[:, :-1]
+                rank = np.take_along_axis(rank, column + (column >= at[:, None]), 1)
+                before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+                rank[before, at[before] - 1] = self._rank(ids[before, at[before] - 1], ids[before, at[before]])
+                rank[after, at[after]] = self._rank(ids[after, at[after]], ids[after, at[after] + 1])
         return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -130,29 +154,46 @@ class WordBpe:
         return [x for x in ids if x is not None]
 
     def pieces(self, plain: str) -> list[str]:
-        """Runs of letters, single digits and runs of other marks."""
-        if plain.isascii() or not _LATER.search(plain):
+        """Runs of letters, single digits and runs of other marks; and line feeds, which keep words apart."""
+        if plain.isascii():
+            return self.ascii_piece.findall(plain)
+        if not _LATER.search(plain):
             return self.piece.findall(plain)
         return [plain[m.start() : m.end()] for m in self.piece.finditer(_LATER.sub("\ufffd", plain))]
 
-    def word(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of a run of bytes without ASCII white space."""
-        if raw.isalpha():  # ASCII letters only
-            return self.merge(raw.decode().lower())
-        text = raw.decode("utf-8", "replace")
-        parts = self.cut.split(text) if self.cut and "<|" in text else (text,)
-        out: list[int] = []
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for piece in self.pieces(plain.lower()):
-                    out += self.merge(piece)
-        return tuple(out)
+    def words(self, raw: list[bytes]) -> list[bytes]:
+        """Ids, as 32-bit integers, of each run of bytes without ASCII white space.
+
+        Words are cut into pieces together, apart from those that may hold special tokens; pieces are merged once for all.
+        """
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(raw):
+            kinds[0 if w.isascii() and b"<|" not in w else 1 if b"<|" not in w else 2].append(i)
+        plain = [i for kind in kinds[:2] for i in kind]
+        flat: list[str] = []
+        for kind in kinds[:2]:
+            text = b"\n".join([raw[i] for i in kind]).decode("utf-8", "replace")
+            text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            flat += self.pieces(text.lower())
+            flat += ["\n"] if kind else []
+        marked: list[list[str]] = []
+        for i in kinds[2]:
+            cut = self.cut.split(raw[i].decode("utf-8", "replace")) if self.cut else [raw[i].decode("utf-8", "replace")]
+            marked.append([x for p in cut for x in ([p] if p in self.special else self.pieces(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()))])
+        merged = self.merge([x for x in set(flat).union(*marked) if x != "\n" and x not in self.special])
+        merged |= {p: struct.pack("<I", i) for p, i in self.special.items()} | {"\n": b""}
+        ids = list(map(merged.__getitem__, flat))
+        whole, stop = b"".join(ids), np.cumsum(list(map(len, ids)), dtype=np.int64)
+        edge = stop[[i for i, p in enumerate(flat) if p == "\n"]].tolist() if flat else []
+        out: list[bytes] = [b""] * len(raw)
+        for i, a, z in zip(plain, [0, *edge], edge, strict=False):
+            out[i] = whole[a:z]
+        for i, pieces in zip(kinds[2], marked, strict=True):
+            out[i] = b"".join([merged[x] for x in pieces])
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in text.encode("utf-8", "replace").split() for i in self.word(w)]
+        return np.frombuffer(b"".join(self.words(text.encode("utf-8", "replace").split())), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """What the library's decode(ids, skip_special_tokens=False) gives without a decoder: tokens set apart by spaces."""
@@ -179,7 +220,8 @@ class Lexicon:
         self.states = len(final)
 
     @classmethod
-    def build(cls, entries: dict[bytes, tuple[int, ...]]) -> Lexicon:
+    def build(cls, entries: dict[bytes, bytes]) -> Lexicon:
+        """From words and their ids as 32-bit integers."""
         words = sorted(entries)
         register: dict[tuple, int] = {}
         arcs: list[dict[int, int]] = []
@@ -224,8 +266,8 @@ class Lexicon:
                 skip.append(before)
                 before += size[t]
         offset = np.zeros(len(words) + 1, np.int64)
-        np.cumsum([len(entries[w]) for w in words], out=offset[1:])
-        ids = np.array([i for w in words for i in entries[w]], np.uint32)
+        np.cumsum([len(entries[w]) // 4 for w in words], out=offset[1:])
+        ids = np.frombuffer(b"".join([entries[w] for w in words]), "<u4")
         return cls(np.array(keys, np.int64), np.array(target, np.int32), np.array(skip, np.int32), np.array([accept[s] for s in order], np.uint8), offset, ids)
 
     def dump(self) -> bytes:
@@ -236,8 +278,8 @@ class Lexicon:
 
     @classmethod
     def map(cls, blob: bytes) -> Lexicon:
-        """Memory-map the dump from an unlinked file of this machine."""
-        with tempfile.TemporaryFile() as f:
+        """Memory-map the dump, from a file in memory that has no name."""
+        with open(os.memfd_create("lexicon"), "w+b") as f:
             f.write(blob)
             f.flush()
             raw = np.memmap(f, np.uint8, "r")
@@ -275,8 +317,10 @@ class Lexicon:
             alive = alive[~ends]
         return out
 
-    def outputs(self, rank: int) -> tuple[int, ...]:
-        return tuple(self.ids[self.offset[rank] : self.offset[rank + 1]].tolist())
+    def outputs(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of each number, as 32-bit integers."""
+        lo, hi = self.offset[ranks].tolist(), self.offset[ranks + 1].tolist()
+        return [self.ids[a:z].tobytes() for a, z in zip(lo, hi, strict=True)]
 
 
 def frequent_words(docs: DataFrame, least_share: float = LEAST_SHARE) -> list[bytes]:
@@ -288,8 +332,8 @@ def frequent_words(docs: DataFrame, least_share: float = LEAST_SHARE) -> list[by
 
 
 def compile_lexicon(docs: DataFrame, path: str, least_share: float = LEAST_SHARE) -> Lexicon:
-    model = load(path)
-    return Lexicon.build({w: model.word(w) for w in frequent_words(docs, least_share)})
+    words = frequent_words(docs, least_share)
+    return Lexicon.build(dict(zip(words, load(path).words(words), strict=True)))
 
 
 class Encoder:
@@ -297,32 +341,34 @@ class Encoder:
 
     def __init__(self, path: str, blob: bytes):
         self.model, self.lexicon = load(path), Lexicon.map(blob)
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
-        new, raw = [w for w in words if w not in self.ids], self.model.raw
-        for w, r in zip(new, self.lexicon.rank(new).tolist(), strict=True):
-            ids = self.lexicon.outputs(r) if r >= 0 else self.model.word(w)
-            self.ids[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.decoded[w] = b" ".join([raw[i] for i in ids])
-
-    def digest(self, text: bytes) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids as little-endian 32-bit integers, sha256 of the decoded text."""
-        words = text.split()
-        ids = b"".join([self.ids[w] for w in words])
-        decoded = b" ".join([d for w in words if (d := self.decoded[w])])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        self.known: dict[bytes, bytes] = {}  # ids as 32-bit integers
+        self.raw = [self.model.raw.get(i, b"") for i in range(max(self.model.raw) + 1)]
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join([self.ids[w] for w in text.split()]), "<u4")
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; what is new to the cache is looked up and merged at once."""
+        words = [t.split() for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        new = [w for w in set().union(*words) if w not in known]
+        rank = self.lexicon.rank(new)
+        held = np.flatnonzero(rank >= 0)
+        known.update(zip([new[i] for i in held.tolist()], self.lexicon.outputs(rank[held]), strict=True))
+        other = [new[i] for i in np.flatnonzero(rank < 0).tolist()]
+        known.update(zip(other, self.model.words(other), strict=True))
+        return [b"".join([known[w] for w in ws]) for ws in words]
+
+    def decode(self, ids: bytes) -> bytes:
+        """UTF-8 of the decoded text: tokens set apart by spaces."""
+        return b" ".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def digest(self, ids: bytes) -> tuple[int, str, str]:
+        """Number of ids, sha256 of the ids as little-endian 32-bit integers, sha256 of the decoded text."""
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 def _over_texts(path: str, blob, keep: list[str], schema: pa.Schema, row):
-    """A mapInArrow function: learn a chunk's words at once, then row(encoder, text) for each text."""
+    """A mapInArrow function: row(encoder, ids) for each text, a chunk of texts at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, blob.value)
@@ -330,8 +376,7 @@ def _over_texts(path: str, blob, keep: list[str], schema: pa.Schema, row):
             texts = tx.as_bytes(b.column("text"))
             out = []
             for lo, hi in tx.chunked(texts, 2 << 20):
-                encoder.learn(set().union(*[t.split() for t in texts[lo:hi]]))
-                out += [row(encoder, t) for t in texts[lo:hi]]
+                out += [row(encoder, ids) for ids in encoder.ids(texts[lo:hi])]
             made = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made], [*keep, *schema.names])
 
@@ -348,7 +393,7 @@ def _run(docs: DataFrame, path: str, lexicon: Lexicon, keep: list[str], schema:
 def encode(docs: DataFrame, path: str, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The kept columns and `ids`, an array of ints, of every whole text."""
     schema = pa.schema([("ids", pa.list_(pa.int32()))])
-    return _run(docs, path, lexicon, keep, schema, "ids array<int>", lambda e, t: (e.encode(t).astype(np.int32),))
+    return _run(docs, path, lexicon, keep, schema, "ids array<int>", lambda _, ids: (np.frombuffer(ids, "<i4"),))
 
 
 def digests(docs: DataFrame, path: str, lexicon: Lexicon, keep: list[str]) -> DataFrame:
