@@ -472,6 +472,66 @@ def test_spaced_letters_are_read():
     assert "idiot" in read("x q " * 500 + "i d i o t")
 
 
+def every_reading(word, model, spaced=False):
+    """All paths of the lattice, by hand."""
+    forms = {(): 0.0}
+    for k, options in enumerate(toxicity.choices(word)):
+        for step in [[("", 0.0), (" ", 0.0)], options] if spaced and k else [options]:
+            grown = {}
+            for f, s in forms.items():
+                for c, cost in step:
+                    if c == " " and (not f or f[-1] == " "):
+                        continue
+                    t = (*f, c) if c else f
+                    grown[t] = max(grown.get(t, -1e9), s + cost)
+            forms = grown
+    out = {}
+    for f, s in forms.items():
+        words = "".join(f).split(" ")
+        if f and "" not in words:
+            for w in words:
+                whole = "^^^" + w + "$"
+                s += sum(model.log(whole[i - 3 : i], whole[i]) for i in range(3, len(whole)))
+            out["".join(f)] = s
+    return sorted(out.items(), key=lambda x: -x[1])
+
+
+def test_decoding_is_exact():
+    """The best readings are those of all paths; the trie lets through every word that has a weighted reading."""
+    rng = random.Random(4)
+    model = toxicity.CharModel({w: 50 for w in "you idiot is stupid man now the river stone villain wretch aa".split()})
+    weights = {"idiot$": 3.0, "stup": 2.0, "vill": 2.0, "aa$": 1.0}
+    plain, sieved = toxicity.Reader(model, weights), toxicity.Reader(model, weights)
+    plain.worth = lambda *a, **k: True
+    some = ["".join(rng.choices("idotsvla10$@.*é", k=rng.randint(2, 7))) for _ in range(150)] + ["1d10t", "v1ll@in", "$tup!d", "i.d.i.o.t", "s**t", "aaa", "a.a", "iidiot"]
+    for w in some:
+        for spaced in (False, True):
+            if spaced and len(w) > 5:
+                continue
+            want = every_reading(w, model, spaced)[:6]
+            got = toxicity.readings(w, model, spaced=spaced)
+            assert np.allclose([s for _, s in got], [s for _, s in want]) and set(t for t, s in got if s > want[-1][1] + 1e-9) <= {t for t, _ in want}
+        assert plain.weight(w.encode()) == sieved.weight(w.encode())
+    assert plain.weight(b"i d 1 o t") == sieved.weight(b"i d 1 o t") == 3.0
+
+
+def test_long_words_are_read_in_seconds():
+    rng = random.Random(4)
+    model = toxicity.CharModel({w: 50 for w in "you idiot is stupid man now the river stone".split()})
+    reader = toxicity.Reader(model, {"idiot$": 3.0})
+    code = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    began = time.perf_counter()
+    assert reader.weight(code.encode()) == 0.0 and reader.weight(b"a" * 1_000_000) == 0.0
+    assert time.perf_counter() - began < 10
+    times = []
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        assert toxicity.readings(code[:n].lower(), model)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 3.2 * times[0] + 0.5
+    assert reader.weight(b"i" + b"." * 100_000 + b"diot") == 3.0
+
+
 def test_rare_words_are_in_the_channel(spark):
     rng = random.Random(5)
     common = ["river", "stone", "window", "letter", "garden"]
