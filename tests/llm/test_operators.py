@@ -178,6 +178,69 @@ def test_lm_knows_more_than_counts(spark):
     assert sum(r.score - r.base_score for r in held) > 0.3 * tokens  # log10(10 / 2) = 0.7 is what there is to know
 
 
+def test_lm_score_by_hand(spark, monkeypatch):
+    """Every text's score from the fitted model, exact counts and the mixture's formula; long words, unseen words, rare words."""
+    path, rng, made, share = public_tokenizers.path("byte_bpe_50k.json"), random.Random(31), [], []
+    fitted, settled = lm_scoring.fit, lm_scoring.fit_share
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: made.append(fitted(*a)) or made[-1])
+    monkeypatch.setattr(lm_scoring, "fit_share", lambda *a: share.append(settled(*a)) or share[-1])
+    monkeypatch.setattr(lm_scoring, "HEAD_SHARE", 1e-2)  # most words meet their counts in the shuffle
+    rows = [(i, chain(rng, rng.randint(0, 90)) + f" only{i} Only{i} rare{i % 20}") for i in range(120)] + [(500, "z" * 3000), (501, None), (502, chain(rng, 4000)), (None, "none of it")]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).collect()}
+    s, sub, lower = made[0], lm_scoring.Subwords(path), bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    count = Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in [*(t or "").encode().translate(lower).split(), b" "])
+    unit = 1 / (sum(count.values()) + len(count) + 1)
+    for i, t in rows:
+        words, ids, length = sub.ids([(t or "").encode()])
+        logs = lm_scoring.token_logs(s.model, ids, length)
+        one = lambda w, log: s.share * (count[w] + 1) * unit + (1 - s.share) * math.exp(log)
+        want = sum(math.log(one(w, x)) if count[w] else x + math.log(s.share * unit + 1 - s.share) for w, x in zip([*words[0], b" "], logs, strict=True))
+        assert math.isclose(got[i].score, want / math.log(10), rel_tol=1e-4)
+    held = [(t, i) for i, t in rows if i is not None and got[i].held_out]
+    alone = sum(lm_scoring.token_logs(s.model, *sub.ids([(t or "").encode()])[1:]).sum() for t, _ in held) / math.log(10)
+    assert s.share == share[0] and alone > sum(got[i].base_score for _, i in held) - 4 * 3000  # zzz
+
+
+def test_lm_probabilities_add_up():
+    """Over all next ids, whatever came before; and the probability that a word starts is that of the ids that start one."""
+    counts = np.arange(300)[::-1] % 7
+    v = attention_lm.Vocabulary.build(counts, np.arange(300) % 3 == 0, 0, most=200)
+    model = attention_lm.Model(v, counts=counts)
+    rng = np.random.default_rng(8)
+    before = rng.choice(np.unique(v.to_model), 9)
+    log = starts = None
+    total, begins = 0.0, 0.0
+    model_ids = np.unique(v.to_model)
+    for i in model_ids:
+        log, starts = attention_lm.score(model, [np.append(before, i)])
+        total += math.exp(log[-1])
+        begins += math.exp(log[-1]) if i < v.starts * attention_lm.CLASS_SIZE else 0.0
+    assert math.isclose(total, 1.0, rel_tol=1e-4) and math.isclose(begins, math.exp(starts[-1]), rel_tol=1e-4)
+    other = np.bincount(v.to_model, np.exp(v.rest))  # external ids behind a model id share its probability
+    assert np.allclose(other[np.unique(v.to_model)], 1.0)
+
+
+def test_lm_gradients():
+    v = attention_lm.Vocabulary.build(np.arange(200) % 5 + 1, np.arange(200) % 2 == 0, 0, most=150)
+    model = attention_lm.Model(v, width=8, hidden=6, counts=np.arange(200) % 5 + 1)
+    rng = np.random.default_rng(2)
+    real = np.unique(v.to_model)
+    ids, target, _ = attention_lm.windows([rng.choice(real, 70), rng.choice(real, 5)], v.end)
+    model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    _, g = model.step(ids, target)
+    for name, x in model.p.items():
+        usable = np.argwhere(x > -1e8)
+        for at in usable[rng.choice(len(usable), min(6, len(usable)), replace=False)]:
+            at, h = tuple(at), 1e-5
+            kept = x[at]
+            x[at] = kept + h
+            up = model.step(ids, target)[0]
+            x[at] = kept - h
+            down = model.step(ids, target)[0]
+            x[at] = kept
+            assert math.isclose((up - down) / (2 * h), float(g[name][at]), rel_tol=2e-3, abs_tol=2e-5), name
+
+
 def test_lm_windows_overlap_by_half():
     ids = np.arange(1, 101)
     cells, target, first = attention_lm.windows([ids], 0)
