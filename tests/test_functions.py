@@ -128,3 +128,38 @@ def test_positions(spark, n):
     row = spark.range(1).select(lsn_of(F.lit(n).cast("long")).alias("t"), lsn_num(F.lit(text)).alias("n")).first()
     assert row.t == text and int(row.n) == n
     assert int(spark.range(1).select(lsn_num(F.lit("FFFFFFFF/FFFFFFFF"))).first()[0]) == (1 << 64) - 1
+
+
+def test_filters_grow_in_step_with_their_text(spark):
+    """One copy of each side: twenty && are as many conditions, nested conditions too."""
+    import time
+
+    rows = spark.createDataFrame([("1", {"a": "3", "b": "x"}), ("2", {"b": "y"})], "event_id string, new_data map<string,string>")
+    rows = rows.selectExpr("event_id", "'INSERT' AS op", "'s' AS schema", "'t' AS table", "new_data", "cast(null as map<string,string>) AS old_data")
+    long = " && ".join(f"(new.a > {i} || new.b == 'y')" for i in range(-20, 3))
+    deep = "(" * 12 + "new.b == 'x'" + " || has(new.a))" * 12
+    began = time.perf_counter()
+    assert [r.event_id for r in rows.where(compile_filter(long)).collect()] == ["1", "2"]
+    assert [r.event_id for r in rows.where(compile_filter(deep)).collect()] == ["1"]
+    assert time.perf_counter() - began < 20
+    assert len(str(rows.where(compile_filter(long))._jdf.queryExecution().analyzed())) < 40_000
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("new.a + 1 == 4", True), ("new.a * 2 - 6 == 0 && -1 < 0", True), ("7 % 4 == new.a", True), ("new.a / 2 == 1.5", True), ("'p' + new.b == 'px'", True), ("2 + 2 * 2 == 6", True), ("(new.a > 2 ? new.a : 0) == 3", True), ("1 / 0 == 1 || new.a == 3", True), ("1 / 0 == 1", None), ("new.b + 1 == 2", None), ("(new.c == 1 ? 1 : 2) == 2", None)],
+)
+def test_arithmetic_in_filters(spark, text, want):
+    rows = spark.createDataFrame([("1", {"a": "3", "b": "x"})], "event_id string, new_data map<string,string>")
+    rows = rows.selectExpr("event_id", "'INSERT' AS op", "'s' AS schema", "'t' AS table", "new_data", "cast(null as map<string,string>) AS old_data")
+    if want is None:
+        with pytest.raises(Exception, match="can't be evaluated"):
+            rows.where(compile_filter(text)).collect()
+    else:
+        assert (rows.where(compile_filter(text)).count() == 1) is want
+
+
+@pytest.mark.parametrize("text", ["new.a + new.b == 1", "1 + 'a' == 1", "new.all(x, x > 1)", "true + 1 == 2", "duration('1s') > 1"])
+def test_filters_that_are_refused(text):
+    with pytest.raises(FilterError):
+        compile_filter(text)

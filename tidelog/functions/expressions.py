@@ -2,7 +2,12 @@
 
 Values of new and old are text; against a number or boolean literal they are read as one. Selecting a
 column that a row doesn't have is an error of that row, unless the other side of && or || decides.
-Expressions that are malformed, use unknown names or aren't boolean are errors when compiled.
+A boolean that can't be evaluated is null, so SQL's three-valued AND and OR absorb errors as the language asks,
+with one copy of each side. Expressions that are malformed, use unknown names or aren't boolean are errors when compiled.
+
+Known: literals, lists, op, schema, table, new, old, selection and indexing by text, has(), size(), startsWith(),
+endsWith(), contains(), matches(), in, comparisons, !, &&, ||, ?:, and + - * / % on numbers and + on text. Refused when
+compiled: macros over lists (all, exists, map, filter), time values, type conversions, bytes and maps as literals.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,18 +27,30 @@ class FilterError(ValueError):
 
 @dataclass
 class Node:
-    """kind: bool, string, number, null, dyn (text of a row), map or list; err: whether this row can't be evaluated."""
+    """kind: bool, string, number, null, dyn (text of a row), map or list.
+
+    err: whether this row can't be evaluated, None if every row can. A bool has none: it is null where it can't.
+    """
 
     kind: str
     value: Column | None
-    err: Column
+    err: Column | None = None
     items: tuple[Node, ...] = ()
 
 
+def _any(*errs: Column | None) -> Column | None:
+    some = [e for e in errs if e is not None]
+    return reduce(lambda a, b: a | b, some) if some else None
+
+
+def _bool(value: Column, *errs: Column | None) -> Node:
+    err = _any(*errs)
+    return Node("bool", value if err is None else F.when(~err, value))
+
+
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<number>\d+\.\d*(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?u?)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>&&|\|\||==|!=|<=|>=|[<>!?:().,\[\]+\-]))"""
+    r"""\s*(?:(?P<number>\d+\.\d*(?:[eE][+-]?\d+)?|\d+(?:[eE][+-]?\d+)?u?)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>&&|\|\||==|!=|<=|>=|[<>!?:().,\[\]+\-*/%]))"""
 )
-_OK = F.lit
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", '"': '"', "'": "'", "`": "`"}
 
 
@@ -50,7 +68,6 @@ def _tokens(text: str) -> list[tuple[str, str]]:
 class _Parser:
     def __init__(self, text: str):
         self.text, self.tokens, self.at = text, _tokens(text), 0
-        self.no = F.lit(False)
 
     def peek(self) -> str:
         kind, value = self.tokens[self.at]
@@ -85,9 +102,16 @@ class _Parser:
         a = self.choice()
         self.need(":")
         b = self.choice()
+        if a.kind != b.kind and "dyn" in (a.kind, b.kind):
+            a, b = self.alike(a, b)
         if a.kind != b.kind:
             raise FilterError(f"both branches of ?: must be of one kind in {self.text!r}")
-        return Node(a.kind, F.when(cond.value, a.value).otherwise(b.value), cond.err | F.when(cond.value, a.err).otherwise(b.err))
+        value = F.when(cond.value, a.value).when(~cond.value, b.value)
+        if a.kind == "bool":
+            return Node("bool", value)
+        no = F.lit(False)
+        err = F.when(cond.value, no if a.err is None else a.err).when(~cond.value, no if b.err is None else b.err).otherwise(F.lit(True))
+        return Node(a.kind, value, err)
 
     def boolean(self, n: Node) -> None:
         if n.kind != "bool":
@@ -109,28 +133,53 @@ class _Parser:
         """&& and ||: a side that decides absorbs an error of the other, in either order."""
         for n in (a, b):
             self.boolean(n)
-        settles = lambda n: ~n.err & (n.value if decides else ~n.value)
-        done = settles(a) | settles(b)
-        return Node("bool", F.when(done, F.lit(decides)).otherwise(F.lit(not decides)), ~done & (a.err | b.err))
+        return Node("bool", a.value | b.value if decides else a.value & b.value)
 
     def relation(self) -> Node:
-        left = self.unary()
+        left = self.sum()
         while True:
             op = self.peek()
             if op in ("==", "!="):
                 self.at += 1
-                right = self.unary()
+                right = self.sum()
                 same = self.equal(left, right)
-                left = Node("bool", same if op == "==" else ~same, left.err | right.err)
+                left = _bool(same if op == "==" else ~same, left.err, right.err, *(n.value.isNull() for n in (left, right) if n.kind == "bool"))
             elif op in ("<", "<=", ">", ">="):
                 self.at += 1
-                left = self.ordered(op, left, self.unary())
+                left = self.ordered(op, left, self.sum())
             elif op == "in":
                 self.at += 1
-                left = self.member(left, self.unary())
+                left = self.member(left, self.sum())
             else:
                 return left
 
+    def sum(self) -> Node:
+        left = self.product()
+        while (op := self.peek()) in ("+", "-"):
+            self.at += 1
+            left = self.arithmetic(op, left, self.product())
+        return left
+
+    def product(self) -> Node:
+        left = self.unary()
+        while (op := self.peek()) in ("*", "/", "%"):
+            self.at += 1
+            left = self.arithmetic(op, left, self.unary())
+        return left
+
+    def arithmetic(self, op: str, a: Node, b: Node) -> Node:
+        """Of numbers, where overflow and division by zero are errors of the row; + joins texts too."""
+        if a.kind == b.kind == "dyn":
+            raise FilterError(f"{op} of two columns has no type in {self.text!r}")
+        a, b = self.alike(a, b) if "dyn" in (a.kind, b.kind) else (a, b)
+        if op == "+" and a.kind == b.kind == "string":
+            made = F.concat(a.value, b.value)
+            return Node("string", made, _any(a.err, b.err, made.isNull()))
+        if not a.kind == b.kind == "number":
+            raise FilterError(f"{op} needs two numbers, not {a.kind} and {b.kind}, in {self.text!r}")
+        made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide, "%": F.try_mod}[op](a.value, b.value)
+        return Node("number", made, _any(a.err, b.err, made.isNull()))
+
     def equal(self, a: Node, b: Node) -> Column:
         """Equality of two values, never null: null equals null only."""
         if a.kind == "null" or b.kind == "null":
@@ -164,25 +213,23 @@ class _Parser:
         if a.kind != b.kind or a.kind not in ("string", "number"):
             raise FilterError(f"can't order {a.kind} and {b.kind} in {self.text!r}")
         made = {"<": a.value < b.value, "<=": a.value <= b.value, ">": a.value > b.value, ">=": a.value >= b.value}[op]
-        return Node("bool", F.coalesce(made, F.lit(False)), a.err | b.err | made.isNull())  # null and unreadable values have no order
+        return _bool(made, a.err, b.err)  # null and unreadable values have no order
 
     def member(self, item: Node, of: Node) -> Node:
         if of.kind == "map":
             if item.kind not in ("string", "dyn"):
                 raise FilterError(f"column names are text in {self.text!r}")
-            return Node("bool", F.coalesce(F.map_contains_key(of.value, item.value), F.lit(False)), item.err)
+            return _bool(F.coalesce(F.map_contains_key(of.value, item.value), F.lit(False)), item.err)
         if of.kind == "list":
-            value, err = F.lit(False), item.err
-            for x in of.items:
-                value, err = value | self.equal(item, x), err | x.err
-            return Node("bool", value, err)
+            value = reduce(lambda a, b: a | b, (self.equal(item, x) for x in of.items), F.lit(False))
+            return _bool(value, item.err, *(x.err for x in of.items))
         raise FilterError(f"'in' needs a row or a list in {self.text!r}")
 
     def unary(self) -> Node:
         if self.take("!"):
             n = self.unary()
             self.boolean(n)
-            return Node("bool", ~n.value, n.err)
+            return Node("bool", ~n.value)
         if self.take("-"):
             n = self.unary()
             if n.kind != "number":
@@ -202,14 +249,14 @@ class _Parser:
                 self.need("]")
                 if key.kind != "string" or n.kind != "map":
                     raise FilterError(f"only columns of a row can be indexed in {self.text!r}")
-                n = Node("dyn", F.element_at(n.value, key.value), key.err | ~F.coalesce(F.map_contains_key(n.value, key.value), F.lit(False)))
+                n = Node("dyn", F.element_at(n.value, key.value), _any(key.err, ~F.coalesce(F.map_contains_key(n.value, key.value), F.lit(False))))
             else:
                 return n
 
     def select(self, n: Node, name: str) -> Node:
         if n.kind != "map":
             raise FilterError(f"{name!r} can't be selected from a {n.kind} in {self.text!r}")
-        return Node("dyn", F.element_at(n.value, F.lit(name)), n.err | ~F.coalesce(F.map_contains_key(n.value, name), F.lit(False)))
+        return Node("dyn", F.element_at(n.value, F.lit(name)), _any(n.err, ~F.coalesce(F.map_contains_key(n.value, name), F.lit(False))))
 
     def arguments(self) -> list[Node]:
         self.need("(")
@@ -229,24 +276,23 @@ class _Parser:
             raise FilterError(f"unknown call {name!r} in {self.text!r}")
         if on.kind not in ("string", "dyn") or args[0].kind not in ("string", "dyn"):
             raise FilterError(f"{name!r} needs text in {self.text!r}")
-        made = text[name](on.value, args[0].value)
-        return Node("bool", F.coalesce(made, F.lit(False)), on.err | args[0].err | made.isNull())
+        return _bool(text[name](on.value, args[0].value), on.err, args[0].err)
 
     def size(self, n: Node) -> Node:
         if n.kind in ("string", "dyn"):
-            return Node("number", F.char_length(n.value).cast("double"), n.err | n.value.isNull())
+            return Node("number", F.char_length(n.value).cast("double"), _any(n.err, n.value.isNull()))
         if n.kind == "map":
             return Node("number", F.size(n.value).cast("double"), n.err)
         if n.kind == "list":
-            return Node("number", F.lit(float(len(n.items))), self.no)
+            return Node("number", F.lit(float(len(n.items))))
         raise FilterError(f"a {n.kind} has no size in {self.text!r}")
 
     def primary(self) -> Node:
         kind, value = self.next()
         if kind == "number":
-            return Node("number", F.lit(float(value.rstrip("u"))), self.no)
+            return Node("number", F.lit(float(value.rstrip("u"))))
         if kind == "string":
-            return Node("string", F.lit(re.sub(r"\\(.)", lambda m: _ESCAPES.get(m.group(1), m.group(1)), value[1:-1])), self.no)
+            return Node("string", F.lit(re.sub(r"\\(.)", lambda m: _ESCAPES.get(m.group(1), m.group(1)), value[1:-1])))
         if value == "(":
             out = self.choice()
             self.need(")")
@@ -257,16 +303,16 @@ class _Parser:
                 items.append(self.choice())
                 if self.peek() != "]":
                     self.need(",")
-            return Node("list", None, self.no, tuple(items))
+            return Node("list", None, None, tuple(items))
         if kind == "name":
             if value in ("true", "false"):
-                return Node("bool", F.lit(value == "true"), self.no)
+                return Node("bool", F.lit(value == "true"))
             if value == "null":
-                return Node("null", F.lit(None), self.no)
+                return Node("null", F.lit(None))
             if value in ("op", "schema", "table"):
-                return Node("string", F.col(value), self.no)
+                return Node("string", F.col(value))
             if value in ("new", "old"):
-                return Node("map", F.coalesce(F.col(f"{value}_data"), F.create_map().cast("map<string,string>")), self.no)
+                return Node("map", F.coalesce(F.col(f"{value}_data"), F.create_map().cast("map<string,string>")))
             if value == "size" and self.peek() == "(":
                 args = self.arguments()
                 if len(args) == 1:
@@ -274,7 +320,7 @@ class _Parser:
             if value == "has" and self.peek() == "(":
                 args = self.arguments()
                 if len(args) == 1 and args[0].kind == "dyn":
-                    return Node("bool", ~args[0].err, self.no)
+                    return Node("bool", F.lit(True) if args[0].err is None else ~args[0].err)
         raise FilterError(f"unexpected {value or 'end'!r} in {self.text!r}")
 
 
@@ -284,4 +330,4 @@ def compile_filter(text: str) -> Column:
     if node.kind != "bool":
         raise FilterError(f"a filter must be boolean, not a {node.kind}: {text!r}")
     failed = F.raise_error(F.concat(F.lit(f"filter {text!r} can't be evaluated on event "), F.coalesce(F.col("event_id"), F.lit("")))).cast("boolean")
-    return F.when(node.err, failed).otherwise(node.value)
+    return F.coalesce(node.value, failed)
