@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The key patterns that are used where none is configured.
 DEFAULT_STREAM_KEY = "{{.Prefix}}:{{.Schema}}:{{.Table}}"
 DEFAULT_DOCUMENT_KEY = '{{.Prefix}}:{{.Schema}}:{{.Table}}:{{.Field "id"}}'
 KEY_SEPARATOR = "\x1f"

@@ -29,6 +29,9 @@ EVENT = T.StructType(
     ]
 )
 
+#: The same with the type id of each column, as decoded frames have it; sinks write typed values from it.
+EVENT_TYPED = T.StructType([*EVENT.fields, T.StructField("types", T.MapType(T.StringType(), T.LongType(), True))])
+
 
 def lsn_text(position: int) -> str:
     """X/Y, both in upper-case hexadecimal, of an unsigned 64-bit position."""

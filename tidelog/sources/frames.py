@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-from ..model import DELETE, EVENT, INSERT, TRUNCATE, UPDATE, lsn_text
+from ..model import DELETE, EVENT_TYPED, INSERT, TRUNCATE, UPDATE, lsn_text
 from ..operators.schema_diff import TYPE_NAMES
 
 _EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
@@ -191,9 +192,69 @@ class Decoder:
         return {
             "event_id": event_id, "op": op, "schema": rel.schema, "table": rel.table, "old_data": old[0] if old else None, "new_data": new[0] if new else None,
             "unchanged_toast": new[1] if new else [], "lsn": text, "lsn_num": Decimal(lsn), "seq": seq, "xid": self.xid, "ts": self.committed,
+            "types": {n: oid for n, oid, _ in rel.columns},
         }
 
 
+#: What decode() returns for each frame that gave something; kind is event, relation, message, status or error.
+DECODED = (
+    "log string, seq long, kind string, event " + EVENT_TYPED.simpleString() + ", relation struct<relation_id:bigint,lsn_num:decimal(20,0),schema:string,table:string,identity:string,"
+    "columns:array<struct<name:string,type_oid:bigint,type:string,key:boolean>>>, message struct<prefix:string,content:binary,lsn:bigint>, ack decimal(20,0), server_end decimal(20,0), reply boolean, error string"
+)
+
+
+def decode(rows: DataFrame, fail: bool = True) -> DataFrame:
+    """Frames of many logs, as rows (log, seq, frame), decoded: each log in its order by one task, logs side by side.
+
+    A frame that can't be decoded is an error: raised, or with fail=False a row of kind error; decoding goes on behind it.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(StructType.fromDDL(DECODED))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, decoder = None, Decoder()
+        for b in batches:
+            out = []
+            for name, seq, frame in zip(*(b.column(c).to_pylist() for c in ("log", "seq", "frame")), strict=True):
+                if name != log:
+                    log, decoder = name, Decoder()
+                row = {"log": name, "seq": seq}
+                try:
+                    got = decoder.decode(frame or b"")
+                except FrameError as e:
+                    if fail:
+                        raise
+                    out.append(row | {"kind": "error", "error": str(e)})
+                    continue
+                for e in got.events:
+                    maps = {k: None if e[k] is None else list(e[k].items()) for k in ("old_data", "new_data", "types")}
+                    out.append(row | {"kind": "event", "event": e | maps})
+                if got.relation:
+                    out.append(row | {"kind": "relation", "relation": got.relation})
+                if got.message:
+                    out.append(row | {"kind": "message", "message": dict(zip(("prefix", "content", "lsn"), got.message, strict=True))})
+                if got.ack is not None or got.server_end is not None:
+                    ends = [None if x is None else Decimal(x) for x in (got.ack, got.server_end)]
+                    out.append(row | {"kind": "status", "ack": ends[0], "server_end": ends[1], "reply": got.reply})
+            yield from pa.Table.from_pylist(out, schema=schema).to_batches()
+
+    dealt = rows.select("log", "seq", "frame").repartition("log").sortWithinPartitions("log", "seq")
+    return dealt.mapInArrow(run, DECODED)
+
+
+def events(decoded: DataFrame) -> DataFrame:
+    return decoded.where("kind = 'event'").select("log", "event.*")
+
+
+def progress(decoded: DataFrame) -> DataFrame:
+    """(log, acked, server_end, lag) of each log: the highest confirmed position, and how far the server is ahead of it, never negative."""
+    per = decoded.where("kind = 'status'").groupBy("log").agg(F.max("ack").alias("acked"), F.max("server_end").alias("server_end"))
+    lag = F.col("server_end") - F.coalesce("acked", F.lit(0).cast("decimal(20,0)"))
+    return per.withColumn("lag", F.greatest(lag, F.lit(0).cast("decimal(21,0)")))
+
+
 def frames(path: str) -> Iterator[bytes]:
     """Frames of a capture; a frame that the last file doesn't hold whole yet is left for later."""
     for name in sorted(os.listdir(path)):
@@ -219,7 +280,7 @@ def write_capture(path: str, name: str, many: list[bytes]) -> None:
 
 
 def _row(event: dict) -> tuple:
-    return tuple(event[name] for name in EVENT.names)
+    return tuple(event[name] for name in EVENT_TYPED.names)
 
 
 class _Batch(DataSourceReader):
@@ -277,7 +338,7 @@ class FrameSource(DataSource):
         return "cdc_frames"
 
     def schema(self) -> StructType:
-        return EVENT
+        return EVENT_TYPED
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Batch(self.options["path"])

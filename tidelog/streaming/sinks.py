@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.payloads import message_payload, stream_payload, webhook_headers
+from ..functions.payloads import message_payload, stream_payload, typed_message_payload, typed_stream_payload, webhook_headers
+from ..functions.keys import field
+from ..model import full_name
 from ..operators.apply import FULL_SET
 
 
@@ -31,10 +33,14 @@ class AppendLog(_Base):
     """(key, event_id, payload) rows appended as Parquet, one folder a batch: a replay overwrites its own."""
 
     def __init__(self, path: str, key: Column, payload: Column | None = None, name: str = "stream"):
-        self.name, self.path, self.key, self.payload = name, path, key, payload if payload is not None else stream_payload()
+        self.name, self.path, self.key, self.payload = name, path, key, payload
+
+    def body(self, events: DataFrame) -> Column:
+        """What is written of an event: typed values where the events carry their columns' types."""
+        return self.payload if self.payload is not None else typed_stream_payload() if "types" in events.columns else stream_payload()
 
     def process(self, events: DataFrame, batch: int) -> None:
-        rows = events.select(self.key.alias("key"), "event_id", self.payload.alias("payload"), "lsn_num", "seq")
+        rows = events.select(self.key.alias("key"), "event_id", self.body(events).alias("payload"), "lsn_num", "seq")
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, spark: SparkSession, most: int | None = None) -> DataFrame:
@@ -49,7 +55,10 @@ class MessageBus(AppendLog):
     """The same for a bus: subject, and the event id by which consumers drop redeliveries."""
 
     def __init__(self, path: str, subject: Column, name: str = "bus"):
-        super().__init__(path, subject, message_payload(), name)
+        super().__init__(path, subject, None, name)
+
+    def body(self, events: DataFrame) -> Column:
+        return typed_message_payload() if "types" in events.columns else message_payload()
 
 
 class Mirror(_Base):
@@ -73,12 +82,15 @@ class Mirror(_Base):
 class Webhook(_Base):
     """One POST for each event, from the executors; any answer but 2xx is an error with a piece of the body."""
 
-    def __init__(self, url: str, secret: bytes | None = None, authorization: str = "", timeout: float = 5.0, name: str = "webhook", clock: Callable[[], Column] = F.unix_timestamp):
+    def __init__(self, url: str, secret: bytes | None = None, authorization: str = "", timeout: float = 5.0, name: str = "webhook", clock: Callable[[], Column] = F.unix_timestamp, row: Column | None = None):
         self.name, self.url, self.secret, self.authorization, self.timeout, self.clock = name, url, secret, authorization, timeout, clock
+        self.row = F.concat_ws(":", full_name(), field("id")) if row is None else row
 
     def process(self, events: DataFrame, batch: int) -> None:
-        body = message_payload()
-        rows = events.select(body.alias("body"), webhook_headers(body, self.clock(), self.secret).alias("headers"), "lsn_num", "seq").sortWithinPartitions("lsn_num", "seq")
+        body = typed_message_payload() if "types" in events.columns else message_payload()
+        rows = events.select(body.alias("body"), webhook_headers(body, self.clock(), self.secret).alias("headers"), "lsn_num", "seq", self.row.alias("row"))
+        # changes of one row (by its id, unless told otherwise) go out in their order, from one task
+        rows = rows.repartition("row").sortWithinPartitions("lsn_num", "seq")
         url, authorization, timeout = self.url, self.authorization, self.timeout
 
         def post(part: Iterator) -> None:
