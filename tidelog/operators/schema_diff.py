@@ -63,6 +63,12 @@ def changes(relations: DataFrame, final_lsn: Column | None = None) -> DataFrame:
     return rows.withColumn("breaking", F.exists("kinds", lambda k: k != "column_added"))
 
 
+def notifications(found: DataFrame, prefix: str = "cdc") -> DataFrame:
+    """(stream, table, lsn, breaking, payload) of changes(): what is published on <prefix>:schema; the payload is the change as JSON."""
+    whole = F.struct("relation_id", F.col("lsn_num").cast("string").alias("lsn"), "schema", "table", "previous_schema", "previous_table", "identity", "previous_identity", "added", "dropped", "retyped", "kinds", "summary", "breaking")
+    return found.select(F.lit(f"{prefix}:schema").alias("stream"), F.concat_ws(".", "schema", "table").alias("table"), F.col("lsn_num").cast("string").alias("lsn"), F.col("breaking").cast("string").alias("breaking"), F.to_json(whole).alias("payload"))
+
+
 def with_relation(rows: DataFrame, relations: DataFrame, most_versions: int = 100_000) -> DataFrame:
     """Each row with the relation that was current at its position (as-of): versions become intervals.
 

@@ -99,6 +99,41 @@ def compact_bytes(n: Column) -> Column:
     return out
 
 
+def compact_duration(seconds: Column) -> Column:
+    """The two largest units of a time: 45s, 2m 5s, 3h 7m, 2d 4h."""
+    n = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
+    two = lambda a, b, big, small: F.concat(F.floor(n / a).cast("string"), F.lit(f"{big} "), F.floor((n % a) / b).cast("string"), F.lit(small))
+    return F.when(n >= 86400, two(86400, 3600, "d", "h")).when(n >= 3600, two(3600, 60, "h", "m")).when(n >= 60, two(60, 1, "m", "s")).otherwise(F.concat(n.cast("string"), F.lit("s")))
+
+
+def compact_rate(rate: Column) -> Column:
+    """Events a second: one decimal below ten, none above."""
+    return F.concat(F.when(rate < 10, F.format_string("%.1f", rate.cast("double"))).otherwise(compact_number(F.round(rate))), F.lit("/s"))
+
+
+def time_ago(then: Column, now: Column) -> Column:
+    """How long ago, in one unit; both in seconds."""
+    n = F.greatest(F.lit(0), now - then).cast("long")
+    one = lambda a, unit: F.concat(F.floor(n / a).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(n >= 86400, one(86400, "d")).when(n >= 3600, one(3600, "h")).when(n >= 60, one(60, "m")).otherwise(one(1, "s"))
+
+
+def letter_totals(counters: DataFrame) -> DataFrame:
+    """(parked, retried) over all sinks and outcomes of the dead-letter counters (name, labels, value)."""
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("value"))), F.lit(0)).cast("long")
+    return counters.agg(of("dlq_parked_total").alias("parked"), of("dlq_retried_total").alias("retried"))
+
+
+def sorted_listing(rows: DataFrame, column: str, descending: bool = False, alphanumeric: bool = False) -> DataFrame:
+    """A listing ordered by any of its columns; alphanumeric order compares runs of digits as numbers."""
+    key = F.col(column)
+    if alphanumeric:
+        parts = F.regexp_extract_all(F.lower(key.cast("string")), F.lit(r"(\d+|\D+)"), F.lit(1))
+        key = F.transform(parts, lambda p: F.struct(F.when(p.rlike(r"^\d"), p.cast("decimal(38,0)")).alias("n"), p.alias("t")))
+    first = key.desc_nulls_last() if descending else key.asc_nulls_last()
+    return rows.orderBy(first, *(F.col(c) for c in rows.columns if c != column and rows.schema[c].dataType.typeName() not in ("map", "variant")))
+
+
 #: Metric names without their prefix, kind and labels.
 METRICS = {
     "events_received_total": ("counter", ("schema", "table", "operation")), "events_processed_total": ("counter", ("sink", "status")),

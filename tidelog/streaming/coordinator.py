@@ -7,6 +7,7 @@ so a restart goes on where it was, and a chunk that fails is simply done again w
 
 from __future__ import annotations
 
+import re
 import time
 from collections import deque
 from collections.abc import Callable, Iterable
@@ -34,6 +35,10 @@ class Status:
     finished_at: str = ""
 
 
+class StreamRestarted(RuntimeError):
+    """The stream was restarted while a chunk waited for it: the chunk is done again."""
+
+
 @dataclass
 class Source:
     """What the coordinator needs of a database: rows, keys, the log and its end."""
@@ -45,10 +50,13 @@ class Source:
     tables: Callable[[], list[tuple[str, str]]] = list
 
 
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$]*")
+
+
 def split_name(name: str) -> tuple[str, str]:
-    """schema.table; a bare name is in public. Names of other forms are errors."""
+    """schema.table; a bare name is in public. Names of other forms, or that aren't identifiers, are errors."""
     parts = name.split(".")
-    if len(parts) > 2 or not all(parts):
+    if len(parts) > 2 or not all(map(_IDENTIFIER.fullmatch, parts)):
         raise ValueError(f"not a table name: {name!r}")
     return (parts[0], parts[1]) if len(parts) == 2 else ("public", parts[0])
 
@@ -67,6 +75,19 @@ class Coordinator:
     queue: deque = field(default_factory=deque)
     statuses: dict[tuple[str, str], Status] = field(default_factory=dict)
     batch: int = 0
+    restarts: int = 0
+    mode: str = "manual"  # auto: all tables are copied once, by the run that finds no earlier state; off: nothing is
+
+    def start(self, first_run: bool) -> list[str]:
+        """What to do when the service starts: go on with what is unfinished, and in mode auto copy all tables on the first run."""
+        if self.mode == "off":
+            return []
+        self.resume()
+        return self.enqueue_pending() if self.mode == "auto" and first_run else []
+
+    def stream_restarted(self) -> None:
+        """To be called when the stream is restarted (Supervisor's `restarted`)."""
+        self.restarts += 1
 
     def _excluded(self, schema: str, table: str) -> bool:
         names = {*self.excluded, *([self.state_table] if self.state_table else [])}
@@ -150,6 +171,7 @@ class Coordinator:
 
     def _once(self, ref: tuple[str, str], key: list[str], cursor: list | None) -> tuple[list | None, int, int]:
         schema, table = ref
+        restarts = self.restarts
         low = self.source.mark()
         full = self.source.rows(schema, table)
         page = backfill.page(full, key, tuple(cursor) if cursor else None, self.chunk_size)
@@ -160,13 +182,17 @@ class Coordinator:
             high = self.source.mark()
             if not ends.n:
                 return None, 0, 0
+            if self.restarts != restarts:
+                raise StreamRestarted("the stream was restarted")
             seen = backfill.seen_keys(self.source.events(), schema, table, key, F.lit(Decimal(low)), F.lit(Decimal(high)))
             left = backfill.supersede(page, seen)
             rows = backfill.read_events(left, schema, table, full.columns, F.lit(lsn_text(high)), F.lit(Decimal(high))).persist()
             try:
                 n = rows.count()
                 self.batch += 1
-                self.deliver(rows, -self.batch)
+                self.deliver(rows, -self.batch)  # returns when the rows are delivered
+                if self.restarts != restarts:
+                    raise StreamRestarted("the stream was restarted")
             finally:
                 rows.unpersist()
             return list(ends.last), ends.n, n

@@ -2,12 +2,16 @@
 
 One streaming query, one foreachBatch: every sink is attempted on every batch, and a batch that any
 sink failed is raised, so its offsets stay uncommitted and it is delivered again (at least once).
-Sinks get DataFrames, not events: what runs on the driver is control, never rows.
+Sinks get DataFrames, not events: what runs on the driver is control, never rows. A sink may say which events failed
+(EventsFailed); those alone are tried again and, by letters.LetterTables, parked.
 """
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections import Counter, deque
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -32,6 +36,14 @@ class DeliveryFailed(RuntimeError):
     pass
 
 
+class EventsFailed(RuntimeError):
+    """Some events of a batch failed; `failed` has their event_id and error, all others were delivered."""
+
+    def __init__(self, failed: DataFrame):
+        super().__init__("; ".join(f"{r.event_id}: {r.error}" for r in failed.orderBy("event_id").limit(3).collect()))
+        self.failed = failed
+
+
 class Sink(Protocol):
     name: str
 
@@ -216,18 +228,63 @@ class DeadLetters:
             raise KeyError(f"no dead letter {key!r}")
 
 
+def error_class(text: str) -> str:
+    """As operators.attempts.error_class, for one error."""
+    low = text.lower()
+    if "circuit breaker is open" in low:
+        return "circuit_open"
+    if "deadline exceeded" in low or "timeout" in low:
+        return "timeout"
+    return "canceled" if "context canceled" in low or "cancelled" in low else "other"
+
+
+def within(rows: DataFrame, seconds: float, work: Callable[[], None]) -> None:
+    """Run the work of a batch; it may take `seconds` for each of its events. Beyond that its Spark jobs are cancelled."""
+    sc, group = rows.sparkSession.sparkContext, f"sink-{uuid.uuid4().hex}"
+    limit, late = seconds * max(1, rows.count()), threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(limit, cancel)
+    timer.daemon = True
+    timer.start()
+    sc.setJobGroup(group, "delivery", True)
+    try:
+        work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"deadline exceeded after {limit:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise TimeoutError(f"deadline exceeded after {limit:g} s")
+
+
+#: Results of deliveries that are kept.
+RESULTS = 10_000
+
+
 class Pipeline:
     """Exclude, route, transform and deliver a batch to every sink."""
 
-    def __init__(self, routes: Routing, registry: Registry, conf: Settings | None = None, sleep: Callable[[float], None] = time.sleep, prepare: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None):
+    def __init__(self, routes: Routing, registry: Registry, conf: Settings | None = None, sleep: Callable[[float], None] = time.sleep, prepare: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, tables=None):
+        """`tables`, a letters.LetterTables, keeps dead letters by event in a folder; without it they are kept by batch, in memory."""
         if not registry.sinks:
             raise ValueError("no sink is registered")
         self.routes, self.registry, self.conf, self.sleep = routes, registry, conf or Settings(), sleep
         self.prepare = prepare or {}
         self.breakers = {n: Breaker(self.conf.breaker_threshold, self.conf.breaker_timeout) for n in registry.sinks}
         self.letters = DeadLetters(self.conf.dlq_threshold, self.conf.dlq_max_entries)
+        self.tables = tables
         self.stopping = False
-        self.results: list[dict] = []
+        self.results: deque[dict] = deque(maxlen=RESULTS)
+        self.counters: Counter[tuple[str, ...]] = Counter()  # metric, then its labels
+        self.in_flight = 0
+        self.last_position = 0
 
     def rows_for(self, name: str, events: DataFrame) -> DataFrame:
         """What a sink gets of a batch; the outbox sink takes its own table and no transform."""
@@ -241,14 +298,36 @@ class Pipeline:
 
     def deliver(self, name: str, rows: DataFrame, batch: int) -> None:
         pauses = backoffs(self.conf.max_retries, self.conf.backoff_initial, self.conf.backoff_max)
-        sink = self.registry.get(name)
-        self.breakers[name].call(lambda: with_retry(lambda: sink.process(rows, batch), pauses, self.sleep))
+        sink, left = self.registry.get(name), [rows]
+
+        def cycle() -> None:
+            try:
+                within(rows, self.conf.process_timeout, lambda: sink.process(left[0], batch))
+            except EventsFailed as e:  # what was delivered isn't tried again
+                left[0] = rows.join(e.failed.select("event_id"), "event_id", "left_semi").select(*rows.columns)
+                raise
+
+        def paused(seconds: float) -> None:
+            self.counters["retry_attempts_total", name] += 1
+            self.sleep(seconds)
+
+        self.breakers[name].call(lambda: with_retry(cycle, pauses, paused))
+
+    def _received(self, events: DataFrame) -> None:
+        """Counts before exclusion."""
+        listed = route.named({*self.conf.excluded_tables, *([self.conf.backfill_state_table] if self.conf.backfill_state_table else [])})
+        for r in events.groupBy("schema", "table", "op").agg(F.count("*").alias("n"), F.count_if(listed).alias("excluded"), F.max("lsn_num").alias("last")).collect():
+            self.counters["events_received_total", r.schema, r.table, r.op] += r.n
+            self.counters["events_excluded_total", r.schema, r.table] += r.excluded
+            self.last_position = max(self.last_position, int(r.last or 0))
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         """For foreachBatch."""
         if self.stopping:
             raise ShuttingDown("shutting down")
+        self._received(events)
         events = route.exclude(events, self.conf.excluded_tables, self.conf.backfill_state_table).persist()
+        self.in_flight = events.count()
         try:
             run = lambda n: self._one(n, events, batch)
             names = list(self.registry.sinks)
@@ -258,6 +337,7 @@ class Pipeline:
             else:
                 errors = [e for n in names if (e := run(n))]
         finally:
+            self.in_flight = 0
             events.unpersist()
         if errors:
             raise DeliveryFailed("; ".join(map(str, errors))) from errors[0]
@@ -266,11 +346,15 @@ class Pipeline:
         began, error = time.monotonic(), None
         try:
             rows = self.rows_for(name, events)
-            if self.conf.dlq_enabled:
+            if self.conf.dlq_enabled and self.tables is not None:
+                self.tables.guard(name, rows, lambda r: self.deliver(name, r, batch))
+            elif self.conf.dlq_enabled:
                 self.letters.guard(name, batch, rows, lambda: self.deliver(name, rows, batch))
             else:
                 self.deliver(name, rows, batch)
         except Exception as e:
             error = e
+            self.counters["sink_errors_total", name, error_class(str(e))] += 1
+        self.counters["events_processed_total", name, "error" if error else "success"] += 1
         self.results.append({"sink": name, "batch": batch, "success": error is None, "seconds": time.monotonic() - began})
         return error
