@@ -426,3 +426,75 @@ def test_webhook(spark):
     with pytest.raises(Exception, match="answered 500"):
         hook.process(e, 1)
     server.shutdown()
+
+
+# -- supervision, deadlines, observers -----------------------------------------------------------------
+
+
+def test_streams_are_restarted_with_doubling_pauses():
+    from tidelog.streaming.supervisor import Supervisor
+
+    now, starts, told, pauses = [0.0], [], [], []
+
+    class Query:
+        def __init__(self, lasts, fails):
+            self.lasts, self.fails = lasts, fails
+
+        def awaitTermination(self):
+            now[0] += self.lasts
+            if self.fails:
+                raise RuntimeError("gone")
+
+    plan = [Query(1, True)] * 7 + [Query(100, True), Query(1, True), Query(1, False)]
+    s = Supervisor(lambda: starts.append(1) or plan[len(starts) - 1], lambda: told.append(len(starts)), pauses.append, clock=lambda: now[0])
+    s.run()
+    assert pauses == [1, 2, 4, 8, 16, 30, 30, 1, 2] and len(starts) == 10 and told == list(range(1, 10))
+    with pytest.raises(RuntimeError, match="failed 2 times"):
+        Supervisor(lambda: Query(0, True), sleep=lambda _: None).run(2)
+
+
+def test_deadlines(spark):
+    import time
+
+    from tidelog.streaming.delivery import within
+
+    e = log(spark, (1, "INSERT", {"id": "1"}, None, []))
+    with pytest.raises(TimeoutError, match="deadline exceeded"):
+        within(e, 0.2, lambda: time.sleep(0.5))
+    within(e, 5.0, lambda: None)
+
+
+def test_letters_stall_when_full_and_forget_on_success(spark, tmp_path):
+    from tidelog.streaming.letters import LetterTables
+
+    e = log(spark, *((i, "INSERT", {"id": str(i)}, None, []) for i in range(1, 5)))
+    t = LetterTables(spark, str(tmp_path / "l"), threshold=2, most=1)
+
+    def fail(rows):
+        raise RuntimeError("down")
+
+    two = e.where("lsn_num <= 2")
+    with pytest.raises(RuntimeError, match="down"):
+        t.guard("s", two, fail)
+    assert t.guard("s", two, lambda rows: None) and t.counts.read().count() == 0  # a success clears the count
+    with pytest.raises(RuntimeError, match="down"):
+        t.guard("s", two, fail)
+    with pytest.raises(delivery.QueueFull):
+        t.guard("s", two, fail)
+    assert t.depth() == 0
+    again = LetterTables(spark, str(tmp_path / "l"), threshold=2, most=5)  # a new driver goes on where the old one was
+    assert not again.guard("s", two, fail) and again.depth() == 2
+    got = []
+    assert again.guard("s", e, lambda rows: got.extend(sorted(r.event_id for r in rows.collect()))) and got == ["0/3", "0/4"]
+    with pytest.raises(KeyError):
+        again.discard("s:0/9")
+    with pytest.raises(KeyError):
+        again.retry("s:0/9", lambda sink, rows: None)
+    assert again.retry("s:0/1", lambda sink, rows: None) == {"retried": 1, "succeeded": 1, "failed": 0} and again.depth() == 1
+
+
+def test_auto_backfill_runs_once(spark):
+    users = spark.createDataFrame([(1, "a")], "id long, name string")
+    source = Source(lambda s, t: users, lambda s, t: ["id"], lambda: log(spark), lambda: 0, lambda: [("public", "users")])
+    assert Coordinator(source, lambda r, b: None, mode="auto").start(True) == ["public.users"]
+    assert Coordinator(source, lambda r, b: None, mode="auto").start(False) == [] == Coordinator(source, lambda r, b: None, mode="off").start(True)

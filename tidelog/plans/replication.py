@@ -159,7 +159,7 @@ _BROKEN = {
 }
 
 
-@query("SELECT n_nationkey AS seq, CASE n_nationkey % 4 WHEN 0 THEN 'transactions in progress are never asked for' WHEN 1 THEN 'relation 99 was not described' WHEN 2 THEN 'frame is cut off' ELSE 'transactions in progress are never asked for' END AS error FROM nation")
+@query("SELECT n_nationkey::BIGINT AS seq, CASE n_nationkey % 4 WHEN 0 THEN 'transactions in progress are never asked for' WHEN 1 THEN 'relation 99 was not described' WHEN 2 THEN 'frame is cut off' ELSE 'transactions in progress are never asked for' END AS error FROM nation")
 def frames_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of transactions in progress, of tables that weren't described, and cut-off ones are errors."""
     kind = F.col("n_nationkey") % 4
