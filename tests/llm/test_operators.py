@@ -467,6 +467,45 @@ def test_ngram_join(docs, empty, block):
     assert ngram_join.join(empty).collect() == []
 
 
+def test_ngram_join_of_chains_and_clusters(spark, monkeypatch):
+    """Chains of texts that are alike to their neighbours only, tight clusters and sparse ones: links equal brute force,
+    and a chain costs about its band pairs."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    window = [f"w{i}" for i in range(3000)]
+    for i in range(60):  # neighbours share 0.85, the next but one 0.73
+        rows.append((i, " ".join(window[i * 8 : i * 8 + 104])))
+    for i in range(60):  # just below: 0.78
+        rows.append((100 + i, " ".join(f"v{x}" for x in range(i * 13, i * 13 + 108))))
+    base = [f"u{i}" for i in range(150)]
+    for i in range(40):
+        at = rng.randrange(150)
+        rows.append((200 + i, " ".join([*base[:at], f"edit{i}", *base[at + 1 :]])))
+    rows.append((300, rows[3][1]))
+    rng.shuffle(rows)
+    cells, verify = spark.sparkContext.accumulator(0), ngram_join._verify
+
+    def counted(similarity):
+        inner = verify(similarity)
+
+        def run(key, table):
+            cells.add(table.num_rows**2)
+            return inner(key, table)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (768, 5):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs, block=block).collect()}
+        sets = {i: grams(t) for i, t in rows}
+        alike = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+        links = {i: sum(alike(x, y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+        assert {i: n for i, (_, n) in got.items()} == links
+        assert {c for i, (c, _) in got.items() if i < 60 or i == 300} == {0} and all(got[100 + i][0] == 100 + i for i in range(60))
+    assert cells.value < 60_000  # a closed chain would be 60 x 60 each, all pairs 161 x 161; block by block more often
+
+
 def test_bands_reach_their_recall():
     for similarity, recall in ((0.8, 0.9995), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = ngram_join.bands_for(similarity, recall)

@@ -2,14 +2,16 @@
 
 1. One pass over whole texts: md5 of the text, band hashes of its n-gram set. Equal texts are one
    class; only its smallest id goes on, so a group of copies costs one row a task.
-2. Band hashes are shuffled; rows of a band that others share point to the band's smallest id. These
-   pointers make candidate groups (connected components).
-3. The groups' texts are read again, and inside a group every pair of different n-gram sets is
-   compared exactly, by matrix products. A group beyond BLOCK texts is dealt in pairs of blocks, so no
-   task holds an unbounded group, and pairs are counted where they are compared, never emitted.
+2. Band hashes are shuffled; the smallest id of a band that others share leads it, and all that share a band meet
+   in its leader's group. Groups are not closed further: a chain of texts makes many small groups, not one.
+3. The texts are read again, and inside a group every pair of different n-gram sets is compared exactly, by
+   matrix products; a pair with several groups counts in that of its smallest common leader. A group beyond BLOCK
+   texts is dealt in pairs of blocks, so no task holds an unbounded group, and pairs are counted where they are
+   compared, never emitted. Verified links alone are closed to classes (connected components).
 
 A text of fewer than n words is one n-gram; a text without words (null, empty, blanks) has no links.
-Rows with a null id are returned without links or group. Repeated rows are copies of each other.
+Rows with a null id are returned without links or group. Repeated rows are copies of each other. Very long texts are
+read whole; an empty table gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -139,15 +141,19 @@ def _verify(similarity: float):
         weight = table.column("copies").to_numpy()
         grams = [g.values.to_numpy() for g in table.column("grams").combine_chunks()]
         block = table.column("block").to_numpy()
-        i, j = (k.as_py() for k in key[1:])
+        leader, i, j = (k.as_py() for k in key)
+        before = [x[x < leader] for x in (g.values.to_numpy() for g in table.column("leaders").combine_chunks())]
         size = np.fromiter(map(len, grams), np.float64, len(grams))
         n = len(ids)
         linked = np.zeros((n, n), bool)
         a = np.flatnonzero(block == i)
         b = np.flatnonzero(block == j) if i != j else a
         if len(a) and len(b):
-            x = intersections([grams[k] for k in a], [grams[k] for k in b] if i != j else None)
+            take = lambda x: ([x[k] for k in a], [x[k] for k in b] if i != j else None)
+            x = intersections(*take(grams))
             on = x >= similarity * (size[a][:, None] + size[b][None, :] - x) - 1e-9
+            if any(map(len, before)):
+                on &= intersections(*take(before)) == 0  # those meet in an earlier leader's group
             linked[np.ix_(a, b)] = on
             linked[np.ix_(b, a)] |= on.T
         np.fill_diagonal(linked, False)
@@ -169,21 +175,21 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0
     classes = shared.saved(classes)
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared_bands = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pointers = banded.join(shared_bands, "band").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    groups = components.connected(pointers)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    groups = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("id"), "digest", "copies"), "id")
+    member = banded.join(shared_bands, "band").select("rep", "leader").distinct()
+    sizes = member.groupBy("leader").agg(F.count("*").alias("n"))
+    groups = member.join(sizes, "leader").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("leader", "n"))).alias("groups"))  # at most one for each band
+    groups = groups.join(classes.select("rep", "digest", "copies"), "rep")
     # one row of the documents for each candidate class: its smallest id, with the class's text
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").join(groups.withColumnRenamed("id", "doc_id"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id")
     texts = texts.where(F.md5(F.col("text").cast("binary")) == F.col("digest")).dropDuplicates(["doc_id", "digest"])
     sets = shared.in_arrow(
-        texts.select(F.col("doc_id").alias("rep"), "component", "n", "copies", "text"), tx.per_text({"grams": pa.list_(pa.int64())}, shingle_sets(n), ["rep", "component", "n", "copies"]), "rep long, component long, n long, copies long, grams array<long>"
+        texts.select(F.col("doc_id").alias("rep"), "groups", "copies", "text"), tx.per_text({"grams": pa.list_(pa.int64())}, shingle_sets(n), ["rep", "groups", "copies"]), "rep long, groups array<struct<leader:bigint,n:bigint>>, copies long, grams array<long>"
     )
-    blocks = F.ceil(F.col("n") / block)
-    dealt = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = sets.select("rep", "copies", "grams", F.col("groups.leader").alias("leaders"), F.explode("groups").alias("g")).select("rep", "copies", "grams", "leaders", "g.leader", F.ceil(F.col("g.n") / block).alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    compared = dealt.select("component", "i", "j", "rep", "copies", "block", "grams").groupBy("component", "i", "j").applyInArrow(_verify(similarity), "rep long, links long, label long")
+    compared = dealt.select("leader", "i", "j", "rep", "copies", "block", "leaders", "grams").groupBy("leader", "i", "j").applyInArrow(_verify(similarity), "rep long, links long, label long")
     compared = shared.saved(compared)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     found = components.connected(compared.select(F.col("rep").alias("a"), F.col("label").alias("b")))
