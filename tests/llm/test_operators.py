@@ -716,3 +716,83 @@ def test_statistics_ignore_chunking(docs):
 def test_sample_is_bounded(docs, labels):
     picked = labelled.sample(labels, "quality", 5, 0, 3)
     assert picked.count() == 3 and picked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).count() == 0
+
+
+# -- learned operators on the bundled tables ---------------------------------------------------------
+
+BUNDLED = "/root/testdata/sf0.01"
+
+
+def ratios_by_hand(t):
+    t = t or ""
+    w = WORD.findall(t)
+    runs = sum(a == b for a, b in itertools.pairwise(w))
+    three = Counter(zip(w, w[1:], w[2:], strict=False))
+    repeated = {i + k for i in range(len(w) - 2) for k in range(3) if three[tuple(w[i : i + 3])] > 1}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    chars, n = sum(map(len, w)), len(w)
+    count = lambda chars_: sum(c in chars_ for c in t)
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "log_words": math.log1p(n), "word_length": share(chars, n), "symbol_share": share(count("#*$%&|<>"), chars), "dup_line_share": (len(lines) - len(set(lines))) / (t.count("\n") + 1),
+        "repeat_share": share(len(repeated), n), "upper_share": share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), "digit_share": share(count("0123456789"), chars), "mark_share": share(count("!?:;\"'()[]{}=+_/\\@~^`"), chars),
+        "distinct_share": share(len(set(w)), n), "run_share": share(runs, n), "line_words": n / (t.count("\n") + 1),
+    }
+
+
+def auc(score, y):
+    good, bad = score[y == 1], score[y == 0]
+    return (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+
+
+@pytest.fixture(scope="module")
+def bundled(spark):
+    docs, labels = spark.read.parquet(f"{BUNDLED}/documents.parquet"), spark.read.parquet(f"{BUNDLED}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    return docs, labels, texts, {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+
+
+def test_quality_scores_by_hand_and_held_out(bundled):
+    """The score of every bundled document from its text, the rules one by one; and how well it tells labels it never saw."""
+    docs, labels, texts, marks = bundled
+    model = quality_classifier.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model, ["doc_id"]).collect()}
+    for i, t in texts.items():
+        x = ratios_by_hand(t)
+        z = model.bias + sum(w for conditions, w in model.rules if all((x[name] > at) == above for name, above, at in conditions))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9), i
+    held = [i for i in marks if i in got and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert auc(np.array([got[i] for i in held]), np.array([marks[i][0] for i in held])) > 0.95
+
+
+def test_kept_by_hand_and_on_a_fold(bundled):
+    """The decision list evaluated rule by rule; learned on four fifths of the labels, judged on the rest."""
+    docs, labels, texts, marks = bundled
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    rules = quality_rules.train(docs, labels.where(fold != 0))
+    judged = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply(docs, rules, ["doc_id"]).collect()}
+    for i, t in texts.items():
+        x, failed = ratios_by_hand(t), judged[i][0]
+        verdict = next((keep for conditions, keep in rules if all((x[name] > at) == above for name, above, at in conditions)), True)
+        assert judged[i][1] == (not failed and verdict)
+    held = [i for i in marks if i in judged and zlib.crc32(str(i).encode()) % 5 == 0 and not judged[i][0]]
+    assert np.mean([judged[i][1] == bool(marks[i][0]) for i in held]) > 0.9
+
+
+def test_toxicity_by_hand_and_held_out(bundled):
+    """Each score from the text's words and their weights, outside Spark; and how well it tells labels it never saw."""
+    docs, labels, texts, marks = bundled
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    reader = toxicity.Reader(model.chars, model.weights)
+    reader.worth = lambda *a, **k: True  # every disguised word is decoded
+    for i in sorted(texts)[::4]:
+        words = reader.words((texts[i] or "").encode())
+        x = np.array([max((model.weights.get(f, 0.0) for r in reader.restored(w) for f in toxicity.features(r)), default=0.0) for w in words])
+        hit, n = np.sort(x[x > 0])[::-1], max(1, len(words))
+        strong = float((hit >= 2.5).sum())
+        values = [hit[0] if len(hit) else 0.0, hit[1] if len(hit) > 1 else 0.0, strong, strong / n, len(hit), len(hit) / n, hit.sum() / n, math.log1p(len(words))]
+        want = model.rules.predict({k: np.array([v]) for k, v in zip(toxicity.SHAPE, values, strict=True)})[0]
+        assert math.isclose(got[i], want, rel_tol=1e-6), i
+    held = [i for i in marks if i in got and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert auc(np.array([got[i] for i in held]), np.array([marks[i][1] for i in held])) > 0.75  # a third of these labels tell of no toxic word
