@@ -107,7 +107,7 @@ def test_stream_equals_batch_and_waits_for_commits(spark, tmp_path):
     assert len(whole) == 4
 
     def run():
-        q = spark.readStream.format("cdc_frames").option("transactionsPerBatch", 1).load(path).select("event_id", "op", "new_data").writeStream
+        q = spark.readStream.format("cdc_frames").option("transactionsPerPartition", 1).load(path).select("event_id", "op", "new_data").writeStream
         q = q.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
         q.processAllAvailable()
         q.stop()
@@ -116,3 +116,26 @@ def test_stream_equals_batch_and_waits_for_commits(spark, tmp_path):
     assert run() == sorted(map(str, whole[:3]))  # the last transaction is open
     fr.write_capture(path, "002", [commit(32)])
     assert run() == sorted(map(str, whole))
+
+
+def test_ranges_resume_from_their_state(spark, tmp_path):
+    """A described table is known to every range after it; a batch read is cut into as many tasks; old files aren't opened again."""
+    path = str(tmp_path / "log")
+    many = [relation(), *(f for i in range(1, 30) for f in (begin(i * 10, i), insert(i * 10 + 1, str(i), "a", None), commit(i * 10 + 2), keepalive(i * 10 + 3)))]
+    fr.write_capture(path, "000", many[:61])
+    fr.write_capture(path, "001", [*many[61:], relation(columns=USERS[:2]), begin(400, 40), insert(401, "40", "z"), commit(402)])
+    fr.register(spark)
+    rows = spark.read.format("cdc_frames").option("transactionsPerPartition", 7).load(path)
+    assert rows.rdd.getNumPartitions() > 5
+    got = {int(r.new_data["id"]): (r.xid, sorted(r.new_data), r.types["id"]) for r in rows.collect()}
+    assert got == {i: (i, ["body", "id", "name"], 20) for i in range(1, 30)} | {40: (40, ["id", "name"], 20)}
+    places = list(fr.boundaries(path, fr.Place()))
+    middle = next(p for p in places if p.file == "001")
+    assert [p.offset() for p in fr.boundaries(path, middle)] == [p.offset() for p in places[places.index(middle) + 1 :]]
+    (tmp_path / "log" / "000").unlink()
+    stream = fr._Stream(path, 5)
+    stream.latest = middle
+    assert stream.latestOffset() == places[-1].offset()
+    ranges = stream.partitions(middle.offset(), places[-1].offset())
+    assert max(int(r[5]["id"]) for p in ranges for r in stream.read(p)) == 40
+    assert stream.partitions(places[-1].offset(), places[-1].offset()) == []

@@ -1,13 +1,16 @@
 """Replication frames [S1, S7, S8, D1-D15]: the pgoutput binary protocol as rows, batch and streaming.
 
 A capture is a folder of files; each holds length-prefixed (4 bytes, big-endian) copy-data frames in
-log order, files in the order of their names. Decoding carries relation and transaction state, so one
-capture is decoded in order by one reader; everything after it runs in parallel. The stream's
-offset is the number of frames up to the end of a transaction: what a batch committed is never read again.
+log order, files in the order of their names. Decoding carries relation and transaction state. Planning walks
+the frames' heads (of descriptions, begins and commits the whole frame) and cuts the capture between
+transactions; each range is decoded by a task of its own, from the state at its start. A stream's offset
+is a file, a place in it and that state, so what a batch committed is never read again. The folder has to be
+one that the driver and all executors share. decode() takes frames as rows instead, many logs side by side.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterable, Iterator
@@ -17,7 +20,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..model import DELETE, EVENT_TYPED, INSERT, TRUNCATE, UPDATE, lsn_text
@@ -283,55 +286,128 @@ def _row(event: dict) -> tuple:
     return tuple(event[name] for name in EVENT_TYPED.names)
 
 
-class _Batch(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+@dataclass
+class Place:
+    """Between two transactions of a capture: a file, a place in it, and the relations that were described before."""
+
+    file: str = ""
+    at: int = 0
+    state: str = "[]"
+
+    def decoder(self) -> Decoder:
+        return Decoder({r[0]: Relation(*r[:4], [(n, o, k) for n, o, k in r[4]]) for r in json.loads(self.state)})
+
+    def offset(self) -> dict:
+        return {"file": self.file, "at": self.at, "state": self.state}
+
+    @classmethod
+    def after(cls, file: str, at: int, decoder: Decoder) -> Place:
+        return cls(file, at, json.dumps([[r.relation_id, r.schema, r.table, r.identity, r.columns] for r in decoder.relations.values()]))
+
+
+def _files(path: str, first: str) -> list[str]:
+    return [n for n in sorted(os.listdir(path)) if not n.startswith((".", "_")) and n >= first]
+
+
+def boundaries(path: str, start: Place, stop: Place | None = None) -> Iterator[Place]:
+    """Every place between transactions after `start`, up to `stop`; row changes are passed over unread."""
+    decoder = start.decoder()
+    for name in _files(path, start.file):
+        at, size = start.at if name == start.file else 0, os.path.getsize(os.path.join(path, name))
+        with open(os.path.join(path, name), "rb") as f:
+            while at + 4 <= size:
+                if stop is not None and (name, at) >= (stop.file, stop.at):
+                    return
+                f.seek(at)
+                head = f.read(4 + 26)
+                (n,) = struct.unpack_from(">I", head)
+                if at + 4 + n > size:
+                    break  # not written whole yet
+                at += 4 + n
+                if head[4:5] == b"w" and head[29:30] in (b"R", b"B", b"C"):
+                    f.seek(at - n)
+                    decoder.decode(f.read(n))
+                if not decoder.open:
+                    yield Place.after(name, at, decoder)
+
+
+def frames_between(path: str, start: Place, stop: Place) -> Iterator[bytes]:
+    for name in _files(path, start.file):
+        at, size = start.at if name == start.file else 0, os.path.getsize(os.path.join(path, name))
+        with open(os.path.join(path, name), "rb") as f:
+            f.seek(at)
+            while at + 4 <= size and (name, at) < (stop.file, stop.at):
+                (n,) = struct.unpack(">I", f.read(4))
+                if at + 4 + n > size:
+                    break
+                yield f.read(n)
+                at += 4 + n
+        if name >= stop.file:
+            return
 
-    def read(self, partition):
-        decoder = Decoder()
-        for frame in frames(self.path):
+
+class _Range(InputPartition):
+    def __init__(self, start: Place, stop: Place):
+        self.start, self.stop = start, stop
+
+
+def _ranges(path: str, start: Place, stop: Place | None, every: int) -> list[_Range]:
+    """Cuts after each so many transactions."""
+    out, last, n = [], start, 0
+    place = start
+    for place in boundaries(path, start, stop):
+        n += 1
+        if n == every:
+            out.append(_Range(last, place))
+            last, n = place, 0
+    if n:
+        out.append(_Range(last, place))
+    return out
+
+
+class _Reads:
+    path: str
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        decoder = partition.start.decoder()
+        for frame in frames_between(self.path, partition.start, partition.stop):
             for e in decoder.decode(frame).events:
                 yield _row(e)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Offsets count frames; a batch ends where a transaction does."""
+class _Batch(_Reads, DataSourceReader):
+    def __init__(self, path: str, every: int):
+        self.path, self.every = path, every
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def partitions(self) -> list[InputPartition]:
+        """All whole transactions, and what an open one at the end holds so far."""
+        out = _ranges(self.path, Place(), None, self.every)
+        last = out[-1].stop if out else Place()
+        return [*out, _Range(last, Place("\uffff"))]
 
-    def initialOffset(self) -> dict:
-        return {"frames": 0}
 
-    def _from(self, start: int, stop: int | None) -> tuple[list[tuple], int]:
-        decoder, rows, waiting, end, taken = Decoder(), [], [], start, 0
-        for i, frame in enumerate(frames(self.path)):
-            if stop is not None and i >= stop:
-                break
-            got = decoder.decode(frame)  # earlier frames only rebuild the decoder's state
-            if i < start:
-                continue
-            waiting += map(_row, got.events)
-            if not decoder.open:
-                rows, end, waiting = rows + waiting, i + 1, []
-                taken += 1
-                if stop is None and taken >= self.most:
-                    break
-        return rows, end
+class _Stream(_Reads, DataSourceStreamReader):
+    def __init__(self, path: str, every: int):
+        self.path, self.every, self.latest = path, every, Place()
 
-    def read(self, start: dict):
-        rows, end = self._from(start["frames"], None)
-        return iter(rows), {"frames": end}
+    def initialOffset(self) -> dict:
+        return Place().offset()
+
+    def latestOffset(self) -> dict:
+        """The end of the last whole transaction; found from where the last call left off."""
+        for place in boundaries(self.path, self.latest):
+            self.latest = place
+        return self.latest.offset()
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._from(start["frames"], end["frames"])[0])
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return _ranges(self.path, Place(**start), Place(**end), self.every)
 
     def commit(self, end: dict) -> None:
         """Nothing to release: the capture stays, the checkpoint remembers the place."""
 
 
 class FrameSource(DataSource):
-    """spark.read / spark.readStream .format("cdc_frames").load(path); option transactionsPerBatch."""
+    """spark.read / spark.readStream .format("cdc_frames").load(path); option transactionsPerPartition."""
 
     @classmethod
     def name(cls) -> str:
@@ -340,11 +416,14 @@ class FrameSource(DataSource):
     def schema(self) -> StructType:
         return EVENT_TYPED
 
+    def _every(self) -> int:
+        return int(self.options.get("transactionsPerPartition", "10000"))
+
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Batch(self.options["path"])
+        return _Batch(self.options["path"], self._every())
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("transactionsPerBatch", "10000")))
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Stream(self.options["path"], self._every())
 
 
 def register(spark: SparkSession) -> None:
