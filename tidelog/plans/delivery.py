@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EVENT_LOG_SQL, ORDER_LOG_SQL, read
+from ..model import EVENT_LOG_SQL, read
 from ..operators import attempts as att
-from ..operators import stats
+from ..operators import schema_diff, stats
 from .registry import Plans
 from .state import _TABLES_SQL, _mixed
 
@@ -205,12 +205,16 @@ def busiest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.busiest(per)
 
 
-@query(f"WITH {ORDER_LOG_SQL} SELECT pos, op FROM olog ORDER BY pos DESC LIMIT 200")
+@query("SELECT k AS pos, 'public.t' || r::VARCHAR AS table_name, CASE WHEN wide THEN 'added b' ELSE 'dropped b' END AS summary FROM (SELECT *, lag(wide) OVER (PARTITION BY r ORDER BY k) AS before FROM (SELECT o_orderkey AS k, o_orderkey % 10 AS r, o_orderstatus = 'F' AS wide FROM orders)) WHERE before <> wide ORDER BY k DESC LIMIT 200")
 def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retention of the newest 200 changes, newest first."""
-    from ..model import order_log
-
-    rows = order_log(spark, sf_dir).select(F.col("lsn_num").cast("long").alias("pos"), "op")
+    """Retention of the newest 200 schema changes, newest first: ten tables that gain and lose a column as orders come."""
+    column = lambda n: F.struct(F.lit(n).alias("name"), F.lit(23).cast("long").alias("type_oid"), F.lit("int4").alias("type"), F.lit(False).alias("key"))
+    o, r = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 10
+    described = o.select(
+        r.alias("relation_id"), F.col("o_orderkey").cast("decimal(20,0)").alias("lsn_num"), F.lit("public").alias("schema"), F.concat(F.lit("t"), r.cast("string")).alias("table"), F.lit("d").alias("identity"),
+        F.when(F.col("o_orderstatus") == "F", F.array(column("a"), column("b"))).otherwise(F.array(column("a"))).alias("columns"),
+    )
+    rows = schema_diff.changes(described).select(F.col("lsn_num").cast("long").alias("pos"), F.concat_ws(".", "schema", "table").alias("table_name"), "summary")
     return stats.last_rows(rows, "pos", stats.SCHEMA_CHANGES)
 
 

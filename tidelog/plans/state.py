@@ -213,9 +213,8 @@ for _s in masks.STRATEGIES:
 @query(f"WITH {ORDER_LOG_SQL} SELECT pos, op, CASE WHEN op <> 'DELETE' THEN sha256(customer::VARCHAR) END AS customer, CASE WHEN op <> 'DELETE' THEN 1 ELSE 0 END AS n_new FROM olog WHERE op = 'DELETE' OR status <> 'P'")
 def transform_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter, then drop, then mask; sink-wide first, then the table's."""
-    sink = Sink("stream", True, "", Transform("", ("status",)), {"public.orders": Table("", Transform("", ("id",), (("customer", "sha256"),)))})
-    rows = order_log(spark, sf_dir).where(compile_filter('op == "DELETE" || new.status != "P"'))
-    out = transform.transform(rows, sink)
+    sink = Sink("stream", True, "", Transform('op == "DELETE" || new.status != "P"', ("status",)), {"public.orders": Table("", Transform('op == "DELETE" || !("status" in new)', ("id",), (("customer", "sha256"),)))})
+    out = transform.transform(order_log(spark, sf_dir), sink)
     return out.select(F.col("lsn_num").cast("long").alias("pos"), "op", F.col("new_data")["customer"].alias("customer"), F.coalesce(F.size("new_data"), F.lit(0)).alias("n_new")).withColumn("n_new", F.when(F.col("n_new") < 0, 0).otherwise(F.col("n_new")))
 
 
