@@ -37,10 +37,14 @@ def windows(marks: DataFrame) -> DataFrame:
 
 
 def seen_keys(events: DataFrame, schema: str, table: str, key: list[str], low: Column, high: Column) -> DataFrame:
-    """Keys of the table that changed strictly between the marks, old and new ones, and whether it was truncated."""
+    """Keys of the table that changed strictly between the marks, old and new ones, and whether it was truncated.
+
+    Events with a `chunk` keep it; the marks may then be columns too.
+    """
     rows = events.where((F.col("schema") == schema) & (F.col("table") == table) & (F.col("lsn_num") > low) & (F.col("lsn_num") < high))
+    more = ["chunk"] if "chunk" in events.columns else []
     keys = F.array(canonical_key(F.col("new_data"), key), canonical_key(F.col("old_data"), key))
-    return rows.select((F.col("op") == TRUNCATE).alias("truncated"), F.explode(F.when(F.col("op") == TRUNCATE, F.array(F.lit(""))).otherwise(F.filter(keys, lambda k: k.isNotNull()))).alias("key")).distinct()
+    return rows.select(*more, (F.col("op") == TRUNCATE).alias("truncated"), F.explode(F.when(F.col("op") == TRUNCATE, F.array(F.lit(""))).otherwise(F.filter(keys, lambda k: k.isNotNull()))).alias("key")).distinct()
 
 
 def supersede(chunk: DataFrame, seen: DataFrame, key: str = "key") -> DataFrame:
@@ -50,6 +54,20 @@ def supersede(chunk: DataFrame, seen: DataFrame, key: str = "key") -> DataFrame:
     return left.join(truncated, F.lit(True), "left_anti")
 
 
+def supersede_chunks(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """The same for many chunks at once: rows and seen keys carry their `chunk`, and only meet inside it."""
+    cut = seen.where("truncated").select("chunk").distinct()
+    left = rows.join(seen.where(~F.col("truncated")).select("chunk", "key"), ["chunk", "key"], "left_anti")
+    return left.join(cut, "chunk", "left_anti")
+
+
+def superseded_counts(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """chunk, rows, superseded, delivered of many chunks."""
+    left = supersede_chunks(rows, seen).groupBy("chunk").agg(F.count("*").alias("delivered"))
+    both = rows.groupBy("chunk").agg(F.count("*").alias("rows")).join(left, "chunk", "left").withColumn("delivered", F.coalesce("delivered", F.lit(0)))
+    return both.select("chunk", "rows", (F.col("rows") - F.col("delivered")).alias("superseded"), "delivered")
+
+
 def superseded_count(chunk: DataFrame, seen: DataFrame, key: str = "key") -> DataFrame:
     """rows, superseded, delivered of a chunk."""
     hit = chunk.join(seen.where(~F.col("truncated")).select(key).withColumn("_hit", F.lit(1)), key, "left")

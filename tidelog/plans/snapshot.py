@@ -16,17 +16,27 @@ query = plans.query
 
 # -- backfill [S10-S12, J1-J3, T12-T19] ---------------------------------------------------------------
 
-LOW, HIGH = 5000, 5100
-_CHUNK_SQL = f"WITH {EVENT_LOG_SQL}, chunk AS (SELECT DISTINCT user_id FROM log WHERE pos <= {LOW}), live AS (SELECT DISTINCT user_id FROM log WHERE pos > {LOW} AND pos < {HIGH}) "
+#: Keys of a chunk; each chunk's marks are a tenth of its share of the log apart.
+CHUNK = 10
+_CHUNK_SQL = f"""WITH {EVENT_LOG_SQL}, n AS (SELECT max(pos) // (max(user_id) // {CHUNK} + 1) AS step FROM log),
+    chunk AS (SELECT DISTINCT user_id // {CHUNK} AS chunk, user_id, user_id // {CHUNK} * step AS low, user_id // {CHUNK} * step + step // 10 AS high FROM log, n),
+    live AS (SELECT DISTINCT pos // step AS chunk, user_id FROM log, n WHERE pos % step > 0 AND pos % step < step // 10) """
 
 
-def _chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_log(spark, sf_dir).where(F.col("pos") <= LOW).select("user_id").distinct()
-    return rows.withColumn("key", F.col("user_id").cast("string"))
+def _step(spark: SparkSession, sf_dir: str) -> int:
+    top = event_log(spark, sf_dir).agg(F.max("pos").alias("pos"), F.max("user_id").alias("user")).first()
+    return top.pos // (top.user // CHUNK + 1)
 
 
-def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backfill.seen_keys(envelope(spark, sf_dir), "public", "sessions", ["user_id"], F.lit(Decimal(LOW)), F.lit(Decimal(HIGH)))
+def _chunk(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    """Every key of the table in its chunk, with the chunk's marks."""
+    rows = event_log(spark, sf_dir).select("user_id").distinct().withColumn("chunk", F.expr(f"user_id div {CHUNK}"))
+    return rows.withColumn("key", F.col("user_id").cast("string")).withColumn("low", F.col("chunk") * step).withColumn("high", F.col("chunk") * step + step // 10)
+
+
+def _seen(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    events = envelope(spark, sf_dir).withColumn("chunk", F.expr(f"cast(lsn_num as long) div {step}"))
+    return backfill.seen_keys(events, "public", "sessions", ["user_id"], F.col("chunk") * step, F.col("chunk") * step + step // 10)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE (o_orderkey, o_custkey) > (2000, 10) ORDER BY o_orderkey, o_custkey LIMIT 1000")
@@ -34,21 +44,24 @@ def backfill_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill.page(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], (2000, 10), 1000)
 
 
-@query(_CHUNK_SQL + "SELECT user_id, user_id::VARCHAR AS key FROM chunk ANTI JOIN live USING (user_id)")
+@query(_CHUNK_SQL + "SELECT chunk, user_id, user_id::VARCHAR AS key FROM chunk ANTI JOIN live USING (chunk, user_id)")
 def backfill_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backfill.supersede(_chunk(spark, sf_dir), _seen(spark, sf_dir)).select("user_id", "key")
+    step = _step(spark, sf_dir)
+    return backfill.supersede_chunks(_chunk(spark, sf_dir, step), _seen(spark, sf_dir, step)).select("chunk", "user_id", "key")
 
 
-@query(_CHUNK_SQL + "SELECT (SELECT count(*) FROM chunk) AS rows, (SELECT count(*) FROM chunk SEMI JOIN live USING (user_id)) AS superseded, (SELECT count(*) FROM chunk ANTI JOIN live USING (user_id)) AS delivered")
+@query(_CHUNK_SQL + "SELECT chunk, count(*) AS rows, count(l) AS superseded, count(*) - count(l) AS delivered FROM chunk LEFT JOIN (SELECT *, 1 AS l FROM live) USING (chunk, user_id) GROUP BY chunk")
 def backfill_superseded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backfill.superseded_count(_chunk(spark, sf_dir), _seen(spark, sf_dir))
+    step = _step(spark, sf_dir)
+    return backfill.superseded_counts(_chunk(spark, sf_dir, step), _seen(spark, sf_dir, step))
 
 
-@query(_CHUNK_SQL + f"SELECT 'bf:public.sessions:' || user_id::VARCHAR AS event_id, 'READ' AS op, 'sessions' AS \"table\", user_id::VARCHAR AS user_id, '0/13EC' AS lsn, {HIGH} AS pos FROM chunk ANTI JOIN live USING (user_id)")
+@query(_CHUNK_SQL + "SELECT 'bf:public.sessions:' || user_id::VARCHAR AS event_id, 'READ' AS op, 'sessions' AS \"table\", user_id::VARCHAR AS user_id, printf('%X', high // 4294967296) || '/' || printf('%X', high % 4294967296) AS lsn, high AS pos FROM chunk ANTI JOIN live USING (chunk, user_id)")
 def backfill_read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = backfill.supersede(_chunk(spark, sf_dir), _seen(spark, sf_dir))
-    rows = backfill.read_events(left, "public", "sessions", ["user_id"], lsn_of(F.lit(HIGH).cast("long")), F.lit(HIGH))
-    return rows.select("event_id", "op", "table", F.col("new_data")["user_id"].alias("user_id"), "lsn", F.col("lsn_num").cast("int").alias("pos"))
+    step = _step(spark, sf_dir)
+    left = backfill.supersede_chunks(_chunk(spark, sf_dir, step), _seen(spark, sf_dir, step))
+    rows = backfill.read_events(left, "public", "sessions", ["user_id"], lsn_of(F.col("high")), F.col("high"))
+    return rows.select("event_id", "op", "table", F.col("new_data")["user_id"].alias("user_id"), "lsn", F.col("lsn_num").cast("long").alias("pos"))
 
 
 @query("""SELECT 'c' || (event_id // 100)::VARCHAR AS chunk, min(event_id) AS low, min(event_id) + 50 AS high FROM events WHERE event_id // 100 % 5 <> 4 GROUP BY 1""")
