@@ -693,6 +693,19 @@ def test_embedding_dedup(spark, leaf, exact):
     assert embedding_dedup.dedup(vectors.where("false")).collect() == []
 
 
+def test_embeddings_of_many_lengths_ties_and_other_columns(spark):
+    """Lengths that differ from row to row make one plan; a cosine of exactly the threshold links; columns may clash."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(2 + i % 90).tolist(), 1, "clash", "clash") for i in range(180)]
+    rows += [(1000 + i, v, 2, "clash", "clash") for i, v in enumerate([[1.0, 0.0], [3.0, 4.0], [3.0, 4.0], [0.0, 1.0], [3.0] + [0.0] * 4999, [5.0] + [0.0] * 4999])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string, dim string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(vectors, 0.6).collect()}
+    assert [got[1000 + i] for i in range(6)] == [(2, 1000, True), (3, 1000, False), (3, 1000, False), (2, 1000, False), (1, 1004, True), (1, 1004, False)]
+    for i in range(90):
+        x, y = np.array(rows[i][1]), np.array(rows[i + 90][1])
+        assert got[i][0] == got[i + 90][0] == int(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.6)
+
+
 # -- shared ----------------------------------------------------------------------------------------
 
 

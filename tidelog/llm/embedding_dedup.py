@@ -9,8 +9,10 @@ are never emitted. Links inside a leaf are reduced to its components, and those
 Scale: equal vectors of a label are one class (pre-aggregated); a tree is as deep as a label's size
 asks for; a leaf of more than 2*LEAF classes is compared exactly by pairs of blocks, over tasks.
 
-Vectors that are null or zero, or hold null or non-finite parts, and rows without label or id, link
-with nothing. Vectors of different lengths never link. Repeated rows are copies of each other.
+Vectors that are null, empty or zero, or hold null or non-finite parts, and rows without label or id, link
+with nothing and are kept. Vectors of different lengths never link; only lengths with a label that needs cutting get a forest,
+so dirty data costs no plan for each length. Repeated rows are copies of each other; a cosine of exactly the threshold
+links. Long vectors go through whole; an empty table gives an empty one; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -86,33 +88,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _route(forest):
-    """mapInArrow: a row for each leaf of each class, with the class's leaves in all trees."""
+def _route(forests):
+    """mapInArrow: a row for each leaf of each class, with the class's leaves in all trees; `forests` are by vector length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Forest = forest.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            unit = _unit(_vectors(b.column("embedding")))
-            depth = b.column("depth").to_numpy().astype(np.int64)
-            rows, trees, leaves = [], [], []
-            for t in range(f.trees):
-                here = np.flatnonzero((depth > 0) | (t == 0))  # without a cut all trees are the same
-                row, leaf = f.route(unit[here], depth[here], t)
-                rows.append(here[row])
-                trees.append(np.full(len(row), t))
-                leaves.append(leaf)
-            row, tree, leaf = map(np.concatenate, (rows, trees, leaves))
-            code = tree * (1 << (MOST_LEVELS + 1)) + leaf
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            start = np.searchsorted(row, np.arange(b.num_rows + 1))
-            codes = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(code)).take(pa.array(row))
-            picked = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [picked.column("label"), pa.array(code), picked.column("rep"), picked.column("copies"), picked.column("embedding"), codes], ["label", "leaf", "rep", "copies", "embedding", "codes"]
-            )
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                yield from one(forests.value.get(dim) or Forest(np.zeros((0, dim)), 1, 0, 1.0), b.take(pa.array(np.flatnonzero(dims == dim))))
+
+    def one(f: Forest, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        unit = _unit(_vectors(b.column("embedding")))
+        depth = b.column("depth").to_numpy().astype(np.int64)
+        rows, trees, leaves = [], [], []
+        for t in range(f.trees):
+            here = np.flatnonzero((depth > 0) | (t == 0))  # without a cut all trees are the same
+            row, leaf = f.route(unit[here], depth[here], t)
+            rows.append(here[row])
+            trees.append(np.full(len(row), t))
+            leaves.append(leaf)
+        row, tree, leaf = map(np.concatenate, (rows, trees, leaves))
+        code = tree * (1 << (MOST_LEVELS + 1)) + leaf
+        order = np.lexsort((code, row))
+        row, code = row[order], code[order]
+        start = np.searchsorted(row, np.arange(b.num_rows + 1))
+        codes = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(code)).take(pa.array(row))
+        picked = b.take(pa.array(row))
+        yield pa.RecordBatch.from_arrays(
+            [picked.column("label"), picked.column("dim"), pa.array(code), picked.column("rep"), picked.column("copies"), picked.column("embedding"), codes], ["label", "dim", "leaf", "rep", "copies", "embedding", "codes"]
+        )
 
     return run
 
@@ -138,7 +142,7 @@ def _met_before(codes: list[np.ndarray], leaf: int, a: np.ndarray, b: np.ndarray
 
 def _compare(similarity: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, leaf, i, j = (k.as_py() for k in key)
+        _, _, leaf, i, j = (k.as_py() for k in key)
         table = table.combine_chunks()
         ids, weight, block = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
         unit = _unit(_vectors(table.column("embedding").chunk(0)))
@@ -175,25 +179,19 @@ def dedup(vectors: DataFrame, similarity: float = 0.98, trees: int = TREES, leaf
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     depth = F.when(F.col("n") <= 2 * leaf, F.lit(0)).otherwise(F.least(F.lit(MOST_LEVELS), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
     sizes = shared.saved(sizes.withColumn("depth", depth.cast("int")))
-    found = []
-    for dim, levels in sorted(tuple(r) for r in sizes.groupBy("dim").agg(F.max("depth")).collect()):  # a row for each length of vectors
-        own = classes.where(F.col("dim") == dim)
-        levels = int(levels)
-        picked = own.orderBy(F.xxhash64("digest")).select("embedding").limit(sample).toPandas()["embedding"] if levels else []
-        fitted = _unit(np.stack([np.asarray(v, np.float64) for v in picked])) if len(picked) else np.zeros((0, dim))
-        forest = spark.sparkContext.broadcast(Forest(fitted, trees if levels else 1, levels, similarity))
-        kind = vectors.schema["embedding"].dataType.simpleString()
-        label = vectors.schema["label"].dataType.simpleString()
-        routed = own.join(sizes.where(F.col("dim") == dim).select("label", "depth"), "label").select("label", "rep", "copies", "embedding", "depth").mapInArrow(_route(forest), f"label {label}, leaf long, rep long, copies long, embedding {kind}, codes array<long>")
-        full = routed.groupBy("label", "leaf").agg(F.count("*").alias("n"))
-        full = full.withColumn("blocks", F.when(F.col("n") <= 2 * leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / leaf)).cast("long")).where("n > 1").drop("n")
-        dealt = routed.join(full, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        found.append(dealt.select("label", "leaf", "i", "j", "rep", "copies", "embedding", "codes", "block").groupBy("label", "leaf", "i", "j").applyInArrow(_compare(similarity), "rep long, links long, label long"))
-    compared = spark.createDataFrame([], "rep long, links long, label long")
-    for f in found:
-        compared = compared.unionByName(f)
+    forests: dict[int, Forest] = {}
+    for dim, levels in sorted(tuple(r) for r in sizes.where("depth > 0").groupBy("dim").agg(F.max("depth")).collect()):  # lengths with a label of over 2 * leaf classes
+        picked = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("digest")).select("embedding").limit(sample).toPandas()["embedding"]
+        forests[dim] = Forest(_unit(np.stack([np.asarray(v, np.float64) for v in picked])), trees, int(levels), similarity)
+    kind, label = (vectors.schema[c].dataType.simpleString() for c in ("embedding", "label"))
+    own = classes.join(sizes.select("label", "dim", "depth"), ["label", "dim"]).select("label", "dim", "rep", "copies", "embedding", "depth")
+    routed = shared.in_arrow(own, _route(spark.sparkContext.broadcast(forests)), f"label {label}, dim int, leaf long, rep long, copies long, embedding {kind}, codes array<long>")
+    full = routed.groupBy("label", "dim", "leaf").agg(F.count("*").alias("n"))
+    full = full.withColumn("blocks", F.when(F.col("n") <= 2 * leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / leaf)).cast("long")).where("n > 1").drop("n")
+    dealt = routed.join(full, ["label", "dim", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    compared = dealt.select("label", "dim", "leaf", "i", "j", "rep", "copies", "embedding", "codes", "block").groupBy("label", "dim", "leaf", "i", "j").applyInArrow(_compare(similarity), "rep long, links long, label long")
     compared = shared.saved(compared)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components.connected(compared.select(F.col("rep").alias("a"), F.col("label").alias("b")))
