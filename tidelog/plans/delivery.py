@@ -84,9 +84,24 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(att.error_class(text).alias("error_type")).groupBy("error_type").agg(F.count("*").alias("errors"))
 
 
-@query()
+#: One attempt after another: st is whether the circuit is open, f the failures in a row, since when it opened; then counts by outcome and state.
+_STEP = """{'t': x.t, 'ok': x.ok,
+    'st': CASE WHEN s.st AND x.t - s.since < 30 THEN true WHEN x.ok THEN false ELSE s.st OR s.f + 1 >= 5 END,
+    'f': CASE WHEN s.st AND x.t - s.since < 30 OR x.ok OR s.st OR s.f + 1 >= 5 THEN 0 ELSE s.f + 1 END,
+    'since': CASE WHEN NOT x.ok AND (s.st AND x.t - s.since >= 30 OR NOT s.st AND s.f + 1 >= 5) THEN x.t ELSE s.since END,
+    'n1': s.n1 + CASE WHEN NOT (s.st AND x.t - s.since < 30) AND x.ok THEN 1 ELSE 0 END,
+    'n2': s.n2 + CASE WHEN NOT x.ok AND NOT s.st AND s.f + 1 < 5 THEN 1 ELSE 0 END,
+    'n3': s.n3 + CASE WHEN NOT x.ok AND (s.st AND x.t - s.since >= 30 OR NOT s.st AND s.f + 1 >= 5) THEN 1 ELSE 0 END,
+    'n4': s.n4 + CASE WHEN s.st AND x.t - s.since < 30 THEN 1 ELSE 0 END}"""
+_BREAKER_SQL = f"""WITH {_ATTEMPTS_SQL},
+l AS (SELECT sink, list({{'t': ts, 'ok': outcome = 'ok', 'st': false, 'f': 0, 'since': 0::BIGINT, 'n1': 0::BIGINT, 'n2': 0::BIGINT, 'n3': 0::BIGINT, 'n4': 0::BIGINT}} ORDER BY ts, event_id) AS xs FROM a WHERE outcome <> 'circuit_open' GROUP BY sink),
+r AS (SELECT sink, list_reduce(xs, lambda s, x: {_STEP}, {{'t': 0::BIGINT, 'ok': true, 'st': false, 'f': 0, 'since': 0::BIGINT, 'n1': 0::BIGINT, 'n2': 0::BIGINT, 'n3': 0::BIGINT, 'n4': 0::BIGINT}}) AS z FROM l)
+SELECT sink, outcome, state, attempts FROM (SELECT sink, 'ok' AS outcome, 'closed' AS state, z.n1 AS attempts FROM r UNION ALL SELECT sink, 'error', 'closed', z.n2 FROM r UNION ALL SELECT sink, 'error', 'open', z.n3 FROM r UNION ALL SELECT sink, 'circuit_open', 'open', z.n4 FROM r) WHERE attempts > 0"""
+
+
+@query(_BREAKER_SQL)
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state machine in time order: no SQL form; tests replay it by hand."""
+    """A state machine in time order, folded sink by sink."""
     return att.breaker(attempt_log(spark, sf_dir).where("outcome <> 'circuit_open'")).groupBy("sink", "outcome", "state").agg(F.count("*").alias("attempts"))
 
 

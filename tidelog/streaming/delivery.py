@@ -325,11 +325,12 @@ class Pipeline:
         """For foreachBatch."""
         if self.stopping:
             raise ShuttingDown("shutting down")
-        self._received(events)
-        events = route.exclude(events, self.conf.excluded_tables, self.conf.backfill_state_table).persist()
-        self.in_flight = events.count()
+        events = events.persist()
         try:
-            run = lambda n: self._one(n, events, batch)
+            self._received(events)
+            taken = route.exclude(events, self.conf.excluded_tables, self.conf.backfill_state_table)
+            self.in_flight = taken.count()
+            run = lambda n: self._one(n, taken, batch)
             names = list(self.registry.sinks)
             if self.conf.parallel_sinks:
                 with ThreadPoolExecutor(len(names)) as pool:
