@@ -69,4 +69,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL} | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
+    made = {"op1_mix_sources": mixing.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_ngram_join": ngram_join.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
+    return made | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

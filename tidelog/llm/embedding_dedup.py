@@ -204,3 +204,15 @@ def dedup(vectors: DataFrame, similarity: float = 0.98, trees: int = TREES, leaf
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+#: DuckDB's SQL for the same over `embeddings` with unique ids: all pairs inside a label.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id WHERE list_inner_product(x.e, y.e) / x.size / y.size >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN class USING (vec_id) LEFT JOIN many USING (vec_id)
+"""

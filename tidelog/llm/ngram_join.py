@@ -204,3 +204,18 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0
         F.coalesce(one(F.coalesce("component", "rep")), F.col("doc_id")).alias("class_id"),
         F.coalesce(one(F.col("copies") - 1 + F.coalesce("links", F.lit(0))), F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+#: DuckDB's SQL for the same over `documents` with unique ids: all pairs of texts that share a 5-gram.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN [hash(ws[i : i + 4]) FOR i IN range(1, len(ws) - 3)] ELSE [hash(ws)] END)) AS k FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM meet JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+many AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, CASE WHEN len(ws) > 0 THEN min(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS text_class, class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w JOIN class USING (doc_id) LEFT JOIN many USING (doc_id)
+"""

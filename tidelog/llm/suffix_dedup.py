@@ -435,3 +435,17 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 100, k: int = K, resul
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     name, sql, _, _ = RESULTS[result]
     return shared.in_arrow(whole.drop("_doc_id", "_tag"), _cut(keep, result), f"{kept}, n_bytes long, n_removed long, n_spans long, {name} {sql}")
+
+
+#: DuckDB's SQL for the same over `documents` with unique ids: every string of 100 bytes, by a 64-bit hash.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+s AS (SELECT doc_id, i, hash(array_slice(h, i + 1, i + 100)) AS k, doc_id * 4294967296 + i AS place FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT k, min(place) AS first FROM s GROUP BY k HAVING count(*) > 1),
+l AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM s JOIN f USING (k) WHERE place > first),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT p.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS stop, string_agg(CASE WHEN a > before THEN hex(array_slice(h, before + 1, a)) ELSE '' END, '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN head IS NULL THEN h ELSE unhex(head || CASE WHEN n > stop THEN hex(array_slice(h, stop + 1, n)) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
