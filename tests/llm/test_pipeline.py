@@ -1,6 +1,7 @@
 """The pipeline stage by stage against brute force, on the awkward rows."""
 
 import hashlib
+import os
 from collections import Counter
 
 import duckdb
@@ -116,3 +117,5 @@ def test_empty_tables(spark, tables):
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == [str(len(corpus_pipeline.STAGES) - 1)]

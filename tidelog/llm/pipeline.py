@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents that
 go on, with the columns of `documents`; the last returns the encoder's rows. run() applies them in
-turn and keeps each stage's result as Parquet in the shared folder.
+turn, each stage's result as Parquet in the shared folder; the last one's stays.
 """
 
 from __future__ import annotations
@@ -94,11 +94,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
+    """All stages over `documents`, each written and read again; a stage's table goes when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared.folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            _drop(spark, f"{at}/{k - 1}")
     return docs
