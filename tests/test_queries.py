@@ -1,5 +1,7 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -33,6 +35,16 @@ def test_query(spark, db, name):
     assert text(got) == text(want)
 
 
+@pytest.mark.parametrize("name", ["letters_parked"])
+def test_more_letters_than_a_queue_holds_by_default(spark, tmp_path, name):
+    spark.range(55_000).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "'F' AS o_orderstatus", "DATE '2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    got = Counter(tuple(r) for r in df.collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == Counter(c.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall())
+
+
 def test_entry_registers_everything():
     import __spark_entry__ as e
 

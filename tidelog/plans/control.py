@@ -198,7 +198,7 @@ def _fanned(spark: SparkSession, sf_dir: str, times: int, **conf) -> tuple[Pipel
     for s in sinks:
         registry.register(s)
     registry.initialize()
-    tables = LetterTables(spark, fresh(spark, "letters"), conf.get("dlq_threshold", 3), clock=lambda: F.timestamp_seconds(F.lit(1_700_000_000)))
+    tables = LetterTables(spark, fresh(spark, "letters"), conf.get("dlq_threshold", 3), most=None, clock=lambda: F.timestamp_seconds(F.lit(1_700_000_000)))
     routes = routing({"redis_stream": {"sync_all": True}, "nats": {"sync_all": True}})
     return Pipeline(routes, registry, Settings(max_retries=0, breaker_threshold=99, **conf), sleep=lambda _: None, tables=tables), registry, sinks
 

@@ -23,7 +23,8 @@ COUNT = "sink string, event_id string, failures int, first_failed_at timestamp"
 
 
 class LetterTables:
-    def __init__(self, spark: SparkSession, path: str, threshold: int = 3, most: int = 10_000, clock: Callable = F.current_timestamp):
+    def __init__(self, spark: SparkSession, path: str, threshold: int = 3, most: int | None = 10_000, clock: Callable = F.current_timestamp):
+        """`most` bounds the queue: what would go beyond it stalls the stream instead. None: no bound, entries are rows of a table."""
         self.entries, self.counts = Versions(spark, f"{path}/entries", ENTRY), Versions(spark, f"{path}/counts", COUNT)
         self.spark, self.threshold, self.most, self.clock = spark, threshold, most, clock
         self.totals: Counter[tuple[str, str]] = Counter()  # (sink, parked, succeeded or failed)
@@ -63,7 +64,7 @@ class LetterTables:
             ripe = now.where(F.col("failures") >= self.threshold).join(rows.select("event_id", F.struct(*EVENT.names).alias("event")), "event_id")
             n = ripe.count()
             if n:
-                if self.depth() + n > self.most:
+                if self.most is not None and self.depth() + n > self.most:
                     raise QueueFull(f"dead letters are full ({self.most}); last error: {now.first().error}")
                 entry = ripe.select(F.concat_ws(":", F.lit(sink), "event_id").alias("id"), F.lit(sink).alias("sink"), "event_id", "event", "error", F.col("failures").alias("attempts"), "first_failed_at", self.clock().alias("last_failed_at"))
                 self.entries.write(attempts.upsert(self.entries.read(), entry))
