@@ -35,7 +35,7 @@ def test_query(spark, db, name):
     assert text(got) == text(want)
 
 
-@pytest.mark.parametrize("name", ["letters_parked"])
+@pytest.mark.parametrize("name", ["letters_parked", "letters_retried"])
 def test_more_letters_than_a_queue_holds_by_default(spark, tmp_path, name):
     spark.range(55_000).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "'F' AS o_orderstatus", "DATE '2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     df = catalog.queries()[name](spark, str(tmp_path))
