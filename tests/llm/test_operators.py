@@ -170,6 +170,15 @@ def test_lm_learns_from_every_text(spark, monkeypatch):
     assert max(every) > 500_000 and sum(learnt) == sum(every)
 
 
+def test_lm_learns_from_every_id_once_whatever_the_size(spark, monkeypatch):
+    path, rng, learn, learnt = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5), lm_scoring.train, []
+    rows = [(i, chain(rng, 40)) for i in range(60)]
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: learnt.append(learn(*a)))
+    assert lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path).count() == 60
+    sub = lm_scoring.Subwords(path)
+    assert sum(learnt) == sum(len(sub.ids([t.encode()])[1][0]) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_lm_knows_more_than_counts(spark):
     rng = random.Random(21)
     docs = spark.createDataFrame([(i, chain(rng, 150)) for i in range(400)], "doc_id long, text string").repartition(3)
