@@ -572,6 +572,18 @@ def test_each_doubled_letter_may_go():
     assert reader.restored(b"bottle") == ["bottle"]
 
 
+def test_rare_grams_count_too(docs, monkeypatch):
+    whole = toxicity.char_model(docs)
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 40)
+    few = toxicity.char_model(docs)
+    assert len(few.counts) == 40 < len(whole.counts)
+    for _ in range(2):
+        asked = [("^" * (4 - len(g)) + g[:-1], g[-1]) for g in [*whole.counts, "zzzz", "^^^q"]]
+        assert np.allclose([few.log(*x) for x in asked], [whole.log(*x) for x in asked], rtol=0, atol=1e-9)
+        for m in (few, whole):  # words added later meet what was counted
+            m.add("abcade", 2.0)
+
+
 def test_spaced_letters_are_read():
     words = {w: 50 for w in "you idiot is stupid man now the river stone a and i".split()}
     reader = toxicity.Reader(toxicity.CharModel(words))

@@ -17,6 +17,7 @@ empty one. Texts and words of any length are read whole, in time that grows with
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -71,6 +72,21 @@ def grams(word: str) -> Iterator[str]:
     return (s[i - k : i + 1] for i in range(ORDER - 1, len(s)) for k in range(ORDER))
 
 
+class Rare:
+    """Weights of n-grams in sorted arrays: 24 bytes each, found by binary search."""
+
+    def __init__(self, grams: np.ndarray, weights: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.weights = grams[order], weights[order]
+
+    def get(self, gram: str, default: float = 0.0) -> float:
+        i = int(np.searchsorted(self.grams, gram))
+        return float(self.weights[i]) if i < len(self.grams) and self.grams[i] == gram else default
+
+
+NONE = Rare(np.zeros(0, f"U{ORDER}"), np.zeros(0))
+
+
 class CharModel:
     """Interpolated character 4-grams of words, weighted by the logarithm of their counts."""
 
@@ -82,6 +98,7 @@ class CharModel:
         self.counts: dict[str, float] = defaultdict(float)
         self.context: dict[str, float] = defaultdict(float)
         self.known: dict[tuple[str, str], float] = {}
+        self.rare = self.rare_context = NONE  # what the dictionaries don't hold
         self.usual = 1.0  # weight of a word that is just frequent enough to be known
         for g, n in (counts or {}).items():
             self.counts[g] += n
@@ -92,8 +109,21 @@ class CharModel:
 
     def add(self, word: str, weight: float) -> None:
         for g in grams(word):
-            self.counts[g] += weight
-            self.context[g[:-1]] += weight
+            for table, rare, key in ((self.counts, self.rare, g), (self.context, self.rare_context, g[:-1])):
+                table[key] = (table[key] if key in table else rare.get(key)) + weight
+        self.known.clear()
+
+    def add_rare(self, found: np.ndarray, weights: np.ndarray) -> None:
+        """n-grams beside those in the dictionary, and what they add to their contexts."""
+        self.rare = Rare(found, weights)
+        contexts, of = np.unique(np.array([g[:-1] for g in found.tolist()], f"U{self.ORDER - 1}"), return_inverse=True)
+        total = np.bincount(of, weights, len(contexts))
+        other = np.ones(len(contexts), bool)
+        for i, h in enumerate(contexts.tolist()):
+            if h in self.context:
+                self.context[h] += total[i]
+                other[i] = False
+        self.rare_context = Rare(contexts[other], total[other])
         self.known.clear()
 
     def log(self, context: str, c: str) -> float:
@@ -104,8 +134,10 @@ class CharModel:
             p = 1e-4
             for k in range(self.ORDER):
                 h = context[len(context) - k :]
-                n = self.context.get(h, 0.0)
-                p = (self.counts.get(h + c, 0.0) + 4.0 * p) / (n + 4.0)
+                n, both = self.context.get(h), self.counts.get(h + c)
+                n = self.rare_context.get(h) if n is None else n
+                both = self.rare.get(h + c) if both is None else both
+                p = (both + 4.0 * p) / (n + 4.0)
             out = self.known[key] = math.log(p)
         return out
 
@@ -406,16 +438,22 @@ def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def char_model(docs: DataFrame, least_share: float = LEAST_SHARE) -> CharModel:
     """n-grams of all words of all texts; known words are those of at least that share: 1/least_share at most.
 
-    Of n-grams the alphabet bounds how many there are; the MOST_GRAMS heaviest reach the driver.
+    All n-grams count: the MOST_GRAMS heaviest in a dictionary, the others, if there are more, in sorted arrays.
     """
     totals = word_counts.counts(docs, lower=True)
     whole = totals.agg(F.sum("total")).first()[0] or 0
     each = totals.select("word", "n").mapInArrow(_folded, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     words = {r.word: r.n for r in each.where(F.col("n") >= least_share * whole).collect()}
-    sums = each.mapInArrow(_grams, "gram string, weight double").groupBy("gram").agg(F.sum("weight").alias("weight"))
+    sums = each.mapInArrow(_grams, "gram string, weight double").groupBy("gram").agg(F.sum("weight").alias("weight")).persist(StorageLevel.DISK_ONLY)
     counts = {r.gram: r.weight for r in sums.orderBy(F.desc("weight"), "gram").limit(MOST_GRAMS).collect()}
-    each.unpersist()
     model = CharModel(words, counts)
+    if sums.count() > len(counts):
+        parts, rest = [], (r for r in sums.toLocalIterator() if r.gram not in counts)
+        while part := list(itertools.islice(rest, 100_000)):
+            parts.append((np.array([r.gram for r in part], f"U{ORDER}"), np.array([r.weight for r in part])))
+        model.add_rare(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    sums.unpersist()
+    each.unpersist()
     model.usual = 1 + math.log(max(1.0, least_share * whole))
     return model
 
