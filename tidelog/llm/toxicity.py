@@ -99,6 +99,7 @@ class CharModel:
         self.context: dict[str, float] = defaultdict(float)
         self.known: dict[tuple[str, str], float] = {}
         self.rare = self.rare_context = NONE  # what the dictionaries don't hold
+        self.some_rare = False
         self.usual = 1.0  # weight of a word that is just frequent enough to be known
         for g, n in (counts or {}).items():
             self.counts[g] += n
@@ -115,7 +116,7 @@ class CharModel:
 
     def add_rare(self, found: np.ndarray, weights: np.ndarray) -> None:
         """n-grams beside those in the dictionary, and what they add to their contexts."""
-        self.rare = Rare(found, weights)
+        self.rare, self.some_rare = Rare(found, weights), True
         contexts, of = np.unique(np.array([g[:-1] for g in found.tolist()], f"U{self.ORDER - 1}"), return_inverse=True)
         total = np.bincount(of, weights, len(contexts))
         other = np.ones(len(contexts), bool)
@@ -134,9 +135,9 @@ class CharModel:
             p = 1e-4
             for k in range(self.ORDER):
                 h = context[len(context) - k :]
-                n, both = self.context.get(h), self.counts.get(h + c)
-                n = self.rare_context.get(h) if n is None else n
-                both = self.rare.get(h + c) if both is None else both
+                n, both = self.context.get(h, 0.0), self.counts.get(h + c, 0.0)
+                if self.some_rare:  # else there is nothing to search
+                    n, both = n or self.rare_context.get(h), both or self.rare.get(h + c)
                 p = (both + 4.0 * p) / (n + 4.0)
             out = self.known[key] = math.log(p)
         return out
