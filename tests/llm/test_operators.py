@@ -515,6 +515,31 @@ def test_ngram_join_of_chains_and_clusters(spark, monkeypatch):
     assert cells.value < 60_000  # a closed chain would be 60 x 60 each, all pairs 161 x 161; block by block more often
 
 
+def test_ngram_join_shuffles_no_text_that_is_like_no_other(spark):
+    def shuffled():
+        store, spent = spark.sparkContext._jsc.sc().statusStore(), 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        for i in range(stages.size()):
+            spent += stages.apply(i).shuffleWriteBytes()
+        return spent
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9))
+    rows = [(i, " ".join(word() for _ in range(2500))) for i in range(120)]
+    rows += [(120 + i, rows[i][1] + " more") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    docs.count()
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # this table is small
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: (i - 120 if i >= 120 else i, int(i >= 120 or i < 6)) for i in range(126)}
+    assert shuffled() - before < 0.4 * sum(len(t) for _, t in rows)
+
+
 def test_bands_reach_their_recall():
     for similarity, recall in ((0.8, 0.9995), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = ngram_join.bands_for(similarity, recall)

@@ -4,7 +4,7 @@
    class; only its smallest id goes on, so a group of copies costs one row a task.
 2. Band hashes are shuffled; the smallest id of a band that others share leads it, and all that share a band meet
    in its leader's group. Groups are not closed further: a chain of texts makes many small groups, not one.
-3. The texts are read again, and inside a group every pair of different n-gram sets is compared exactly, by
+3. The texts are read again; those that no group can want are passed over before the shuffle. Inside a group every pair of different n-gram sets is compared exactly, by
    matrix products; a pair with several groups counts in that of its smallest common leader. A group beyond BLOCK
    texts is dealt in pairs of blocks, so no task holds an unbounded group, and pairs are counted where they are
    compared, never emitted. Verified links alone are closed to classes (connected components).
@@ -28,6 +28,8 @@ from . import components, shared
 from . import text as tx
 
 BLOCK = 768
+#: 64-bit words of the bitmap that tells which texts a group may want: at most as many rows are sent to all tasks.
+SIEVE_WORDS = 1 << 19
 
 
 def bands_for(similarity: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -162,6 +164,14 @@ def _verify(similarity: float):
     return run
 
 
+def sieve(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and by chance a few others, without a shuffle of rows: by one bit of a bounded bitmap for each key."""
+    word = lambda k: F.pmod(F.xxhash64(k), F.lit(SIEVE_WORDS))
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({k}), 58) AS int))")
+    bits = wanted.groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    return rows.join(F.broadcast(bits), (word(key) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit(key)) != 0), "left_semi")
+
+
 def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9995, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_class, class_id, n_links) of every row.
 
@@ -178,9 +188,10 @@ def join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0
     member = banded.join(shared_bands, "band").select("rep", "leader").distinct()
     sizes = member.groupBy("leader").agg(F.count("*").alias("n"))
     groups = member.join(sizes, "leader").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("leader", "n"))).alias("groups"))  # at most one for each band
-    groups = groups.join(classes.select("rep", "digest", "copies"), "rep")
+    groups = shared.saved(groups.join(classes.select("rep", "digest", "copies"), "rep").withColumnRenamed("rep", "doc_id"))
     # one row of the documents for each candidate class: its smallest id, with the class's text
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    texts = sieve(texts, groups, "doc_id").join(groups, "doc_id")
     texts = texts.where(F.md5(F.col("text").cast("binary")) == F.col("digest")).dropDuplicates(["doc_id", "digest"])
     sets = shared.in_arrow(
         texts.select(F.col("doc_id").alias("rep"), "groups", "copies", "text"), tx.per_text({"grams": pa.list_(pa.int64())}, shingle_sets(n), ["rep", "groups", "copies"]), "rep long, groups array<struct<leader:bigint,n:bigint>>, copies long, grams array<long>"
