@@ -179,6 +179,29 @@ def test_lm_learns_from_every_id_once_whatever_the_size(spark, monkeypatch):
     assert sum(learnt) == sum(len(sub.ids([t.encode()])[1][0]) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
 
 
+def test_lm_words_are_encoded_in_lines_and_kept_while_met(monkeypatch):
+    class Counted:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 1000)
+    rng, sub = random.Random(6), lm_scoring.Subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    alone, sub.library = sub.library, Counted(sub.library)
+    odd = ["a", "b\u00a0", "\u00a0c", "\u3000", "it's", "'s", "<|endoftext|>", "e\u0301", "\u2009", "\x85", "\x1c", "日本", "12", "#*", "\ufffd", "\U0001f600"]
+    hot = [f"kept{i}".encode() for i in range(400)]
+    for k in range(40):
+        words = [*hot, *("".join(rng.choices(odd, k=rng.randint(1, 3))).encode() for _ in range(20 if k < 10 else 0)), *(b"%d" % rng.randrange(10**9) for _ in range(400)), b"\xff\xc3"]
+        words = [w for w in words if len(w.split()) == 1]
+        found, ids, length = sub.ids([b" ".join(words)])
+        want = [alone.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words]
+        assert found == [words] and ids[0].tolist() == [*itertools.chain(*want), sub.end] and length.tolist() == [*map(len, want), 1]
+    assert sub.library.texts < 40 * 400 / 2  # 400 new words a text; lines with white space beyond ASCII go word by word
+
+
 def test_lm_knows_more_than_counts(spark):
     rng = random.Random(21)
     docs = spark.createDataFrame([(i, chain(rng, 150)) for i in range(400)], "doc_id long, text string").repartition(3)
