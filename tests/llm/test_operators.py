@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,7 +18,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import attention_lm, bpe, components, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, stats, suffix_dedup, toxicity
+from tidelog.llm import attention_lm, bpe, components, embedding_dedup, html_text, labelled, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, shared, stats, suffix_dedup, toxicity
 from tidelog.llm.text import SYMBOLS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -202,6 +204,27 @@ def test_lm_words_are_encoded_in_lines_and_kept_while_met(monkeypatch):
     assert sub.library.texts < 40 * 400 / 2  # 400 new words a text; lines with white space beyond ASCII go word by word
 
 
+def test_lm_texts_are_tokenised_once(spark, monkeypatch, tmp_path):
+    """Rounds and scoring read the ids that were made first: the tokenizer's file is gone by then, and so is their table at the end."""
+    path, learn = tmp_path / "byte_bpe.json", lm_scoring.train
+    path.write_bytes(Path(public_tokenizers.path("byte_bpe_50k.json")).read_bytes())
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: path.unlink(missing_ok=True) or learn(*a))
+    rng, odd = random.Random(9), "b\u00a0 \u00a0c \u3000 it's <|endoftext|> e\u0301 \u2009 \x85 \x1c 日本 12 \ufffd"
+    rows = [(i, chain(rng, 30)) for i in range(40)] + [(40, odd), (41, None), (42, ""), (None, odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert lm_scoring.score(docs, str(path)).count() == len(rows) and not path.exists()
+    at = str(tmp_path / "ids")
+    sub = lm_scoring.Subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    kept = {(r.doc_id, bytes(r.text)): r.ids for r in lm_scoring.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), at).collect()}
+    assert len(kept) == len(rows) and not [f for f in os.listdir(shared.folder(spark).removeprefix("file:")) if f.startswith("ids-")]
+    starts = sub.starts.copy()
+    starts[sub.end] = True
+    for i, t in rows:
+        _, ids, length = sub.ids([(t or "").encode()])
+        found = np.frombuffer(kept[i, (t or "").encode()], np.uint16)
+        assert found.tolist() == ids[0].tolist() and lm_scoring.lengths([found], starts).tolist() == length.tolist()
+
+
 def test_lm_knows_more_than_counts(spark):
     rng = random.Random(21)
     docs = spark.createDataFrame([(i, chain(rng, 150)) for i in range(400)], "doc_id long, text string").repartition(3)
